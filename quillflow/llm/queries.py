@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
-from .scratch import small_batches
+from . import bpe, exact_dedup, quality_rules
+from .scratch import prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -28,8 +28,23 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.rejected(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.dedup(*exact_dedup.older_half(documents(spark, sf_dir)))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_exact_dedup": op6_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+}
