@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, quality_rules
-from .scratch import prepare
+from . import bpe, exact_dedup, quality_rules, token_store
+from .scratch import fresh_path, prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(documents(spark, sf_dir), path, tokenizer_path())
+    return token_store.with_crc32(token_store.read_store(spark, path))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.rejected(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -40,6 +46,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_store": op2_token_store,
     "op3_quality_rules": op3_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
 }
