@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, quality_rules, token_store
+from . import bpe, exact_dedup, quality_rules, simhash_bk, token_store
 from .scratch import fresh_path, prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
@@ -44,11 +44,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_bk.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_store": op2_token_store,
     "op3_quality_rules": op3_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_simhash_bk": op9_simhash_bk,
 }
 
 SQL: dict[str, str] = {
