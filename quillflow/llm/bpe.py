@@ -12,30 +12,41 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries that a worker's memo holds before it starts anew: bounds its memory whatever the vocabulary of the corpus.
-MEMO_ENTRIES = 400_000
+#: Entries of each of a memo's two generations: bounds a worker's memory whatever the vocabulary of the corpus.
+MEMO_ENTRIES = 250_000
 #: Longer words are encoded without being remembered.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer's white space does not include them.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Words of these characters are in normal form, and Python's lower case and classes agree with the tokenizer's.
+_LATIN = re.compile("[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+").fullmatch
+#: The symbols that stand for bytes: printable Latin-1 characters for themselves, the others from U+0100 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SYMBOLS = {b: 0x100 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+#: The pre-tokenizer patterns known here, and their equals for words that _LATIN matches.
+_LATIN_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")}
 
 
 class Memo(dict):
-    """A bounded dictionary that computes what it lacks."""
+    """A bounded dictionary that computes what it lacks; when full, what was not used again is forgotten."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -60,6 +71,8 @@ class Codec:
         merges = (m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(a, b): k for k, (a, b) in enumerate(merges)}
         self.joined = self.inner_pairs()
+        self.id_bytes = {token: np.int32(k).astype("<i4").tobytes() for token, k in self.vocab.items()}
+        self.latin_pattern = self.known_pattern(spec)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError("added tokens with own matching rules aren't supported")
@@ -74,6 +87,14 @@ class Codec:
         self.fragments = Memo(self.merge)
         self.words = Memo(self.encode_word)
 
+    @staticmethod
+    def known_pattern(spec: dict) -> re.Pattern | None:
+        """The split pattern for Latin words, where normaliser and pre-tokenizer are of the known form."""
+        normalizer, splits = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = [x["type"] for x in normalizer.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        known = known and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["add_prefix_space"] and not splits[1].get("use_regex", True)
+        return _LATIN_PATTERNS.get(splits[0]["pattern"].get("Regex")) if known else None
+
     def inner_pairs(self) -> frozenset[str]:
         """Neighbouring byte symbols that some token holds side by side; every other pair is a certain cut."""
         inside: set[str] = set()
@@ -84,40 +105,42 @@ class Codec:
 
     def cuts(self, piece: str) -> list[str]:
         """The fragments of a pre-token; the last one carries the end-of-word suffix."""
-        start, out = 0, []
-        for k in range(1, len(piece)):
-            if piece[k - 1 : k + 1] not in self.joined:
+        joined, start, out = self.joined, 0, []
+        for k, pair in enumerate(map(add, piece, piece[1:]), 1):
+            if pair not in joined:
                 out.append(piece[start:k])
                 start = k
-        return [*out, piece[start:] + self.suffix]
+        out.append(piece[start:] + self.suffix)
+        return out
 
     def merge(self, fragment: str) -> bytes:
         """Ids of a fragment: the adjacent pair of lowest rank is joined, leftmost first, until none is left."""
         final = bool(self.suffix) and fragment.endswith(self.suffix)
-        body = fragment[: -len(self.suffix)] if final else fragment
-        parts = list(body)
+        parts = list(fragment[: -len(self.suffix)] if final else fragment)
         if final:
             parts[-1] += self.suffix
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            best = min(map(rank.get, zip(parts, parts[1:]), [none] * len(parts)))
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            fused, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and rank.get((parts[k], parts[k + 1])) == best:
-                    fused.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    fused.append(parts[k])
-                    k += 1
-            parts = fused
-        return np.array([self.vocab[p] for p in parts], "<i4").tobytes()
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), none)
+        return b"".join([self.id_bytes[p] for p in parts])
 
     def encode_word(self, word: str) -> bytes:
         """Ids, as little-endian int32, of a text that holds no added token."""
-        pieces = self.pretokenize(self.normalize(word))
-        return b"".join(self.fragments[f] for piece, _ in pieces for f in self.cuts(piece))
+        if self.latin_pattern and _LATIN(word):
+            pieces = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_SYMBOLS) for x in self.latin_pattern.findall(word.lower())]
+        else:
+            pieces = [x for x, _ in self.pretokenize(self.normalize(word))]
+        return b"".join([self.fragments[f] for piece in pieces for f in self.cuts(piece)])
 
     def encode_plain(self, text: str) -> bytes:
         """White space never joins with its neighbours, so the words between it can be encoded alone."""
