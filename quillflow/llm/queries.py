@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, quality_rules, simhash_bk, token_store
+from . import bpe, exact_dedup, quality_rules, simhash_bk, substring_dedup, token_store
 from .scratch import fresh_path, prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
@@ -49,15 +49,21 @@ def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.repeats(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_store": op2_token_store,
     "op3_quality_rules": op3_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_simhash_bk": op9_simhash_bk,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
