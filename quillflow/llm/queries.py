@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, quality_rules, simhash_bk, substring_dedup, token_store
+from . import bpe, exact_dedup, fm_quality, mixing, quality_rules, simhash_bk, substring_dedup, token_store, toxicity
 from .scratch import fresh_path, prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
@@ -39,11 +39,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return fm_quality.score(docs, fm_quality.train(docs, labels))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(*exact_dedup.older_half(documents(spark, sf_dir)))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,7 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_store": op2_token_store,
     "op3_quality_rules": op3_quality_rules,
+    "op4_fm_quality": op4_fm_quality,
+    "op5_source_mix": op5_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash_bk": op9_simhash_bk,
     "op10_substring_dedup": op10_substring_dedup,
 }
