@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe import Memo
 from .labelled import remainder, training_rows
 
-#: Buckets of words and of their beginnings, most labelled rows to learn from, passes over them.
-BUCKETS, TRAINING_ROWS, EPOCHS = 1 << 17, 6000, 15
+#: Buckets of words and of their beginnings, most labelled rows to learn from, gradient steps over them.
+BUCKETS, TRAINING_ROWS, STEPS = 1 << 17, 6000, 2400
 #: Labels of rows with this remainder are held out.
 MODULUS, HELD_OUT = 5, 0
-#: Beginnings of words that count as features, and the fewest training documents a feature needs.
-PREFIXES, LEAST_DOCUMENTS = (4, 5), 3
-#: A sentence without known features has the logit BIAS at first.
-BIAS = -6.0
+#: Beginnings of words that count as features; a feature needs so many toxic training documents, and so many standard deviations more than chance.
+PREFIXES, LEAST_DOCUMENTS, DEVIATIONS = (4, 5), 3, 5.0
+#: The logit of a sentence without such features: low, since a long document has thousands of sentences.
+BIAS = -10.0
 _COLUMNS = 2 + len(PREFIXES)
 
 
@@ -71,35 +71,45 @@ class Model:
         return self.bias + np.add.reduceat(self.weights[rows].sum(axis=1), starts), starts
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11, rate: float = 0.2, decay: float = 1e-5, batch: int = 64) -> Model:
-    """Likelihood of the documents' labels under the noisy-or, AdaGrad over mini-batches."""
-    random, weights, bias = np.random.default_rng(seed), np.zeros(BUCKETS), BIAS
-    known = np.zeros(BUCKETS, np.int32)
-    for rows, _ in bags:
-        known[np.unique(rows)] += 1
-    known = known >= LEAST_DOCUMENTS
-    if not len(bags) or labels.min() == labels.max():
-        return Model(bias, weights)
-    seen, seen_bias = np.full(BUCKETS, 1e-2), 1.0
-    filled = np.array([k for k, (_, starts) in enumerate(bags) if len(starts)])
-    for _ in range(EPOCHS):
-        for some in np.array_split(random.permutation(filled), max(1, len(filled) // batch)):
+def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """The features that toxic documents have significantly more often than the share of toxic documents explains."""
+    counts, share = np.zeros((2, BUCKETS)), labels.mean()
+    for (rows, _), label in zip(bags, labels):
+        counts[int(label)][np.unique(rows)] += 1
+    seen = counts.sum(axis=0)
+    excess = (counts[1] - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    return (counts[1] >= LEAST_DOCUMENTS) & (excess >= DEVIATIONS)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11, rate: float = 0.5, decay: float = 2e-4, batch: int = 64) -> Model:
+    """Likelihood of the documents' labels under the noisy-or, by plain gradient steps.
+
+    Steps aren't scaled per feature: frequent features are learnt first, and once they explain a document its
+    rare words get no more weight.  Labels of one class alone teach nothing: every sentence keeps the bias.
+    """
+    random, weights = np.random.default_rng(seed), np.zeros(BUCKETS)
+    filled = np.array([k for k, (_, starts) in enumerate(bags) if len(starts)], np.int64)
+    if not len(filled) or labels.min() == labels.max():
+        return Model(BIAS, weights)
+    known = telling(bags, labels)
+    batches, step = max(1, len(filled) // batch), 0
+    while step < STEPS:
+        for some in np.array_split(random.permutation(filled), batches):
+            step += 1
             rows = np.concatenate([bags[k][0] for k in some])
             shift = np.cumsum([0, *(len(bags[k][0]) for k in some)])
             starts = np.concatenate([bags[k][1] + s for k, s in zip(some, shift)])
             counts = np.array([len(bags[k][1]) for k in some])
-            z = bias + np.add.reduceat((weights[rows] * known[rows]).sum(axis=1), starts)
+            z = np.clip(BIAS + np.add.reduceat(weights[rows].sum(axis=1), starts), -30, 30)
             clean = np.exp(-np.add.reduceat(np.logaddexp(0, z), np.cumsum(counts) - counts))  # 1 - P of each document
-            pull = np.where(labels[some] > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0)
-            g = np.repeat(pull, counts) / (1 + np.exp(-z)) / len(some)
-            per_word = np.repeat(g, np.diff(np.r_[starts, len(rows)]))
-            used, back = np.unique(rows, return_inverse=True)
-            grad = np.bincount(back.ravel(), np.repeat(per_word, rows.shape[1]), len(used)) * known[used] + decay * weights[used]
-            seen[used] += grad**2
-            weights[used] -= rate * grad / np.sqrt(seen[used])
-            seen_bias += g.sum() ** 2
-            bias -= 0.1 * rate * g.sum() / np.sqrt(seen_bias)
-    return Model(bias, weights * known)
+            pull = np.where(labels[some] > 0, -clean / np.maximum(1 - clean, 1e-3), 1.0)
+            per_word = np.repeat(np.repeat(pull, counts) / (1 + np.exp(-z)), np.diff(np.r_[starts, len(rows)]))
+            inside = known[rows]
+            used, back = np.unique(rows[inside], return_inverse=True)
+            if len(used):
+                grad = np.bincount(back, np.broadcast_to(per_word[:, None], rows.shape)[inside], len(used)) / np.sqrt(len(some))
+                weights[used] -= rate * grad + decay * weights[used]
+    return Model(BIAS, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model:
