@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, fm_quality, mixing, quality_rules, simhash_bk, substring_dedup, token_store, toxicity
+from . import bpe, exact_dedup, fm_quality, mixing, quality_rules, simhash_bk, style_tree, substring_dedup, token_store, toxicity
 from .scratch import fresh_path, prepare
 
 #: Where the public vocabulary lies; a parameter of the operators.
@@ -58,6 +58,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op8_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark, 500)
+    return style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_style_tree": op8_style_tree,
     "op9_simhash_bk": op9_simhash_bk,
     "op10_substring_dedup": op10_substring_dedup,
 }
