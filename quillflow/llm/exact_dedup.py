@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .scratch import stored
 
@@ -27,18 +27,18 @@ DIGEST = 32
 MAX_LEVELS = 48
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest): SHA-256 of the UTF-8 text after lower-casing A-Z only; null counts as empty."""
-    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    field = source.schema[0]
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, digest): SHA-256 of the UTF-8 text after lower-casing A-Z only; null counts as empty.  Carried columns get the prefix _c_."""
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
+    schema = T.StructType([source.schema[0], T.StructField("digest", T.BinaryType()), *source.schema[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lowered = pc.ascii_lower(batch.column(1)).cast(pa.binary())
             found = [hashlib.sha256(x.as_buffer() or b"").digest() for x in lowered]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], [key, "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], schema.names)
 
-    return source.mapInArrow(run, f"{field.name} {field.dataType.simpleString()}, digest binary")
+    return source.mapInArrow(run, schema)
 
 
 def classes(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,6 +164,13 @@ def look_up(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return with_shard(incoming, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(probe, LOOKED_UP)
 
 
+def merged_classes(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(digest, keep_id, copies, member) of all distinct digests of history and incoming, given the (key, digest) rows of both."""
+    old_classes = stored(classes(old, key), "classes-old")
+    shards = max(1, ceil(max(old.count(), new.count()) / SHARD_KEYS))
+    return stored(look_up(classes(new, key), stored(build_index(old_classes, shards), "perfect-hash"), shards), "classes")
+
+
 def dedup(history: DataFrame, incoming: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document of both: (key, digest, keep_id, group_size, kept, member); the largest key of equal texts stays.
 
@@ -171,16 +178,22 @@ def dedup(history: DataFrame, incoming: DataFrame, key: str = "doc_id", text: st
     them.  Rows that repeat key and text stay together: all of the winning key have kept = true.
     """
     old, new = stored(digests(history, key, text), "digests-old"), stored(digests(incoming, key, text), "digests-new")
-    old_classes, new_classes = stored(classes(old, key), "classes-old"), classes(new, key)
-    shards = max(1, ceil(max(old.count(), new.count()) / SHARD_KEYS))
-    merged = stored(look_up(new_classes, stored(build_index(old_classes, shards), "perfect-hash"), shards), "classes")
     both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
     # a plain join on the digest: the classes are distinct, and AQE splits the partition of a hot text
-    return both.join(merged, "digest").select(
+    return both.join(merged_classes(old, new, key), "digest").select(
         key, "digest", "keep_id", F.col("copies").alias("group_size"), F.coalesce(F.col(key) == F.col("keep_id"), F.lit(False)).alias("kept"), (F.col("member") & F.col("_new")).alias("member")
     )
 
 
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that dedup keeps, with the columns they came with; the older half of the keys is the history."""
+    history, incoming = older_half(docs, key)
+    found = merged_classes(stored(digests(history, key, text), "digests-old"), stored(digests(incoming, key, text), "digests-new"), key)
+    others = tuple(c for c in docs.columns if c != key)
+    kept = digests(docs, key, text, others).join(found.select("digest", "keep_id"), "digest").where(F.col(key) == F.col("keep_id"))
+    return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
+
+
 def older_half(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A table as history (keys up to the middle of their range, or none) and what came after."""
     low, high = docs.agg(F.min(key), F.max(key)).first()

@@ -46,24 +46,26 @@ def repeated_words(words: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words), all long."""
-    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words), all long, and what to carry along."""
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
     words = F.array_remove(F.split("_text", SPACE), "")
     by_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), repeated_words(w).alias("r")))
     by_lines = let(
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE)),
         lambda v: F.struct(F.size(v).alias("n"), (F.size(v) - F.size(F.array_distinct(v))).alias("d")),
     )
+    carried = [f"_c_{c}" for c in carry]
     counted = source.select(
         key,
+        *carried,
         by_words.alias("_w"),
         by_lines.alias("_l"),
         F.regexp_count("_text", F.lit(SYMBOLS)).alias("_s"),
         F.regexp_count("_text", F.lit("[A-Z]")).alias("_u"),
     )
     parts = {"n_words": "_w.n", "word_chars": "_w.c", "n_symbols": "_s", "n_upper": "_u", "n_lines": "_l.n", "n_dup_lines": "_l.d", "n_repeat_words": "_w.r"}
-    return counted.select(key, *(F.col(v).cast("long").alias(k) for k, v in parts.items()))
+    return counted.select(key, *carried, *(F.col(v).cast("long").alias(k) for k, v in parts.items()))
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,7 @@ def mask(policy: tuple[str, int]) -> int:
     return sum(1 << names.index(n) for n in POLICIES[policy])
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The measurements of every document and fail_bits (long): bit k is set if RULES[k] fails.
 
     Null and empty texts have no word and fail ``few_words`` alone.  Repeated rows give repeated rows.
@@ -108,7 +110,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     all_bits = bits[0]
     for bit in bits[1:]:
         all_bits = all_bits.bitwiseOR(bit)
-    return measured(docs, key, text).withColumn("fail_bits", all_bits)
+    return measured(docs, key, text, carry).withColumn("fail_bits", all_bits)
 
 
 def passes(policy: tuple[str, int]) -> Column:
@@ -137,6 +139,13 @@ def rejected(documents: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFra
     return ledger(documents).withColumns({"base_failed": ~passes(("base", 1)), "kept": passes(("base", 1)) & passes(policy)})
 
 
+def passing(docs: DataFrame, policy: tuple[str, int] = CURRENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with the columns they came with."""
+    others = tuple(c for c in docs.columns if c != key)
+    kept = ledger(docs, key, text, others).where(passes(("base", 1)) & passes(policy))
+    return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,

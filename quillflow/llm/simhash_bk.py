@@ -19,7 +19,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import connected_components
 from .scratch import stored
@@ -47,17 +47,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(majority, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint as a signed long.  Null and empty texts have fingerprint zero."""
-    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    field = source.schema[0]
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp): the fingerprint as a signed long.  Null and empty texts have fingerprint zero.  Carried columns get the prefix _c_."""
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
+    schema = T.StructType([source.schema[0], T.StructField("fp", T.LongType()), *source.schema[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]], schema.names)
 
-    return source.mapInArrow(run, f"{field.name} {field.dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, schema)
 
 
 def _split(bits: list[int], parts: int) -> list[int]:
@@ -193,6 +193,15 @@ def links(classes: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     return found.distinct()
 
 
+def fingerprint_components(found: DataFrame, key: str = "doc_id", limit: int = SHARD_LIMIT) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of (key, fp)."""
+    classes = stored(found.groupBy("fp").agg(F.min(key).alias("first")), "classes")
+    labels = connected_components(links(classes, limit)).withColumnRenamed("node", "fp")
+    labelled = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    return stored(labelled.join(firsts, "label").select("fp", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
     """(key, fp, component_id): the smallest key reachable over links between fingerprints, one row per document.
 
@@ -200,10 +209,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     component of such documents alone has a null id.
     """
     found = stored(fingerprints(docs, key, text), "fingerprints")
-    classes = stored(found.groupBy("fp").agg(F.min(key).alias("first")), "classes")
-    labels = connected_components(links(classes, limit)).withColumnRenamed("node", "fp")
-    labelled = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = stored(labelled.join(firsts, "label").select("fp", "component_id"), "components")
     # a plain join on the fingerprint: the classes are distinct, and AQE splits the partition of a hot one
-    return found.join(by_class, "fp").select(key, "fp", "component_id")
+    return found.join(fingerprint_components(found, key, limit), "fp").select(key, "fp", "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
+    """One document of each component, that with the smallest key, with the columns it came with."""
+    components = fingerprint_components(stored(fingerprints(docs, key, text), "fingerprints"), key, limit)
+    others = tuple(c for c in docs.columns if c != key)
+    kept = fingerprints(docs, key, text, others).join(components, "fp").where(F.col(key) == F.col("component_id"))
+    return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
