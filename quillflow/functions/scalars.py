@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.constants import CURRENCIES
 
@@ -90,12 +90,11 @@ def clean(x: Column | str) -> Column:
 
 def label_codes(train: DataFrame, column: str) -> DataFrame:
     """(value, code) of the sorted distinct values of a training column, from 0: rows are distinct values."""
-    from ..functions.windows import Window
-
     values = train.select(F.col(column).alias("value")).where("value is not null").distinct()
     return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
 
 
 def encoded(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:
     """The code of each value; values that training did not see share code 0."""
-    return df.join(codes, df[column] == codes["value"], "left").withColumn(name, F.coalesce("code", F.lit(0))).drop("value", "code")
+    known = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    return df.join(known, F.col(column) == F.col("_value"), "left").withColumn(name, F.coalesce("_code", F.lit(0))).drop("_value", "_code")

@@ -222,7 +222,7 @@ def candidate_sets(totals: DataFrame, keep: int = 100) -> DataFrame:
     """(key, member): each account with its neighbours and theirs, over its heaviest undirected edges."""
     weights = edge_weights(totals)
     both = weights.select("source", "target", "weight").union(weights.select("target", "source", "weight")).toDF("source", "target", "amount")
-    near = _top(both.groupBy("source", "target").agg(F.sum("amount").alias("amount")), "source", "target", keep).select(F.col("source").alias("key"), F.col("target").alias("member"))
+    near = _top(both.groupBy("source", "target").agg(F.round(F.sum("amount"), 9).alias("amount")), "source", "target", keep).select(F.col("source").alias("key"), F.col("target").alias("member"))
     further = near.join(near.select(F.col("key").alias("_via"), F.col("member").alias("_next")), F.col("member") == F.col("_via")).select("key", F.col("_next").alias("member"))
     selves = near.select("key", F.col("key").alias("member"))
     return near.union(further).union(selves).distinct()

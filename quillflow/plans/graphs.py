@@ -1,0 +1,200 @@
+"""Queries over the account graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as R, graph_metrics as M
+from ..sources import tables as T
+from ..sources.constants import CURRENCIES
+from . import sql as Q
+from .registry import query
+
+FORMATS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _edges(spark, sf_dir):
+    return R.as_edges(T.transactions(spark, sf_dir))
+
+
+def _rounded(df, digits=4):
+    return df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+_W = "w AS (SELECT source, target, amount, amount / sum(amount) OVER (PARTITION BY source) + amount / sum(amount) OVER (PARTITION BY target) AS weight FROM tot)"
+
+
+@query("gr01_edge_weights", f"WITH {Q.EDGES}, {_W} SELECT source, target, round(weight, 8) AS weight FROM w")
+def gr01(spark, sf_dir):
+    return R.edge_weights(R.edge_totals(_edges(spark, sf_dir))).select("source", "target", F.round("weight", 8).alias("weight"))
+
+
+_MULTI = f"{_W}, m AS (SELECT e.source, e.target, source_bank, target_bank, source_currency, count(*) AS num_transactions, sum(e.amount) AS amount, list(ts_s - (SELECT min(ts_s) - 60 FROM e) ORDER BY ts_s, e.amount) AS offs, list(e.amount ORDER BY ts_s, e.amount) AS amts FROM e GROUP BY ALL), mw AS (SELECT m.*, m.amount * (weight / (SELECT max(weight) FROM w)) AS amount_weighted FROM m JOIN w USING (source, target))"
+
+
+@query("ag04_multi_edges", f"WITH {Q.EDGES}, {_MULTI} SELECT source, target, source_bank, target_bank, source_currency, num_transactions, amount, round(amount_weighted, 4) AS amount_weighted, offs[1] AS first_offset, len(offs) AS events FROM mw")
+def ag04(spark, sf_dir):
+    m = R.multi_edges(_edges(spark, sf_dir))
+    return m.select("source", "target", "source_bank", "target_bank", "source_currency", "num_transactions", "amount", F.round("amount_weighted", 4).alias("amount_weighted"), F.col("events")[0]["ts"].alias("first_offset"), F.size("events").cast("long").alias("events"))
+
+
+_SHARES = ", ".join([f"round(coalesce(sum(amount) FILTER (source_currency = '{n}'), 0) / sum(amount), 6) AS share_{c}" for n, c, _ in CURRENCIES] + [f"round(coalesce(sum(amount) FILTER (format = '{f}'), 0) / sum(amount), 6) AS share_{s}" for f, s in zip(FORMATS, ("1_urgent", "2_high", "3_medium", "4_not_specified", "5_low"))])
+
+
+@query("ag06_ag07_cp04_edge_shares", Q.edges(f"SELECT source, target, sum(amount) AS total_amount, max(ts_s) - min(ts_s) AS related_for, {_SHARES} FROM e GROUP BY source, target"))
+def ag07(spark, sf_dir):
+    return _rounded(R.edge_shares(_edges(spark, sf_dir), FORMATS), 6)
+
+
+def _hops_sql(side: str, cap: str, both: bool, hops: int, n: int) -> str:
+    other = "target" if side == "source" else "source"
+    anchors = f"WHERE {cap} IN (SELECT {side} FROM tot)" if both else ""
+    parts = [f"caps AS (SELECT {cap} AS k, sum(amount) AS total FROM tot {anchors} GROUP BY {cap})"]
+    prune = lambda src: f"(SELECT source, target, least(x.amount, total) AS amount FROM (SELECT x.*, total, row_number() OVER (PARTITION BY x.{side} ORDER BY x.amount DESC, x.{other}) AS r FROM {src} x JOIN caps ON k = x.{side}) x WHERE r <= {n})"
+    parts.append(f"h1 AS {prune('(SELECT * FROM tot WHERE source <> target)')}")
+    for k in range(2, hops + 1):
+        joined = f"(SELECT a.source, b.target, sum(least(a.amount, b.amount)) AS amount FROM h{k - 1} a JOIN h1 b ON a.target = b.source WHERE a.source <> b.target GROUP BY ALL)"
+        parts.append(f"h{k} AS {prune(joined)}")
+    cols, joins = ["k AS key", "total"], []
+    for k in range(1, hops + 1):
+        joins.append(f"LEFT JOIN (SELECT {side} AS s{k}, sum(amount) AS t, count(*) AS n, stddev_pop(amount) AS d, max(amount) AS x FROM h{k} GROUP BY {side}) f{k} ON s{k} = k")
+        cols += [f"f{k}.t AS flow_hop_{k}_total", f"f{k}.n AS flow_hop_{k}_number_of_nodes", f"round(f{k}.d, 4) AS flow_hop_{k}_std_amounts", f"f{k}.x AS flow_hop_{k}_max_amounts", f"round(f{k}.t / total, 4) AS flow_hop_{k}_rel_transferred"]
+    return f"WITH {Q.EDGES}, {', '.join(parts)} SELECT {', '.join(cols)} FROM caps {' '.join(joins)}"
+
+
+for variant, (side, cap, both) in R.FLOW_VARIANTS.items():
+    query(f"gr02_gr03_hop_flow_{variant}", _hops_sql(side, cap, both, 3, 5))(lambda spark, sf_dir, variant=variant: _rounded(R.hop_variant(_edges(spark, sf_dir), variant, 3, 5)))
+
+
+@query("gr02_hop_flow_five_hops")
+def gr02(spark, sf_dir):
+    return R.hop_variant(_edges(spark, sf_dir), "dispense", 5, 10)
+
+
+_TEMPORAL = """busy AS (SELECT source, target, count(*) AS n FROM e GROUP BY ALL), le AS (SELECT source, target FROM busy QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, source) <= 10),
+re AS (SELECT source, target FROM busy QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, target) <= 10),
+f AS (SELECT l.source AS dispense, r.source AS passthrough, r.target AS sink, least(sum(l.amount), sum(r.amount)) AS amount FROM (SELECT e.* FROM e JOIN le USING (source, target)) l JOIN (SELECT e.* FROM e JOIN re USING (source, target)) r ON l.target = r.source AND l.ts_s <= r.ts_s GROUP BY l.source, r.source, r.target)"""
+
+
+@query("gr04_temporal_flows", f"WITH {Q.EDGES}, {_TEMPORAL} SELECT dispense, passthrough, sink, amount FROM f")
+def gr04(spark, sf_dir):
+    return R.temporal_flows(_edges(spark, sf_dir), 10)
+
+
+def _stats_sql(role: str) -> str:
+    def cols(when: str, suffix: str) -> str:
+        f = f" FILTER ({when})"
+        return ", ".join([f"sum(amount){f} AS amount_sum{suffix}", f"round(avg(amount){f}, 4) AS amount_mean{suffix}", f"median(amount){f} AS amount_median{suffix}", f"max(amount){f} AS amount_max{suffix}", f"round(stddev_samp(amount){f}, 4) AS amount_std{suffix}", *(f"count(DISTINCT {c}){f} AS {c}_count{suffix}" for c in ("dispense", "passthrough", "sink"))])
+
+    return f"WITH {Q.EDGES}, {_TEMPORAL} SELECT {role} AS key, {cols('true', '')}, {cols('dispense = sink', '_cycle')} FROM f GROUP BY {role}"
+
+
+for role in ("dispense", "passthrough", "sink"):
+    query(f"ag09_gr04_temporal_{role}", _stats_sql(role))(lambda spark, sf_dir, role=role: _rounded(R.temporal_stats(R.temporal_flows(_edges(spark, sf_dir), 10), role)))
+
+
+def _hood_sql(side: str) -> str:
+    seg = lambda s, t, names: ", ".join(f"len({x}) AS {n}" for x, n in zip((f"list_distinct(list({s}))", f"list_distinct(list({t}))", f"list_distinct(list_concat(list({s}), list({t})))", f"list_intersect(list_distinct(list({s})), list_distinct(list({t})))", f"list_filter(list_distinct(list({s})), lambda x: NOT list_contains(list({t}), x))", f"list_filter(list_distinct(list({t})), lambda x: NOT list_contains(list({s}), x))"), names))
+    return f"""WITH {Q.EDGES}, {_MULTI}, g AS (SELECT {side} AS key, * FROM mw),
+counts AS (SELECT key, sum(num_transactions)::BIGINT AS num_transactions, count(DISTINCT source_currency) AS num_currencies, {seg('source', 'target', ('num_sources', 'num_targets', 'num_source_or_target', 'num_source_and_target', 'num_source_only', 'num_target_only'))} FROM g GROUP BY key),
+cr AS (SELECT key, target, sum(amount) AS a FROM g GROUP BY ALL), dr AS (SELECT key, source, sum(amount) AS a FROM g GROUP BY ALL),
+crs AS (SELECT key, max(a) AS max_credit_edges, round(avg(a), 4) AS mean_credit_edges, median(a) AS median_credit_edges, round(stddev_pop(a), 4) AS std_credit_edges FROM cr GROUP BY key),
+drs AS (SELECT key, max(a) AS max_debit_edges, round(avg(a), 4) AS mean_debit_edges, median(a) AS median_debit_edges, round(stddev_pop(a), 4) AS std_debit_edges FROM dr GROUP BY key),
+gain AS (SELECT key, sum(d) AS turnover FROM (SELECT key, n, sum(d) AS d FROM (SELECT key, target AS n, amount AS d FROM g UNION ALL SELECT key, source, -amount FROM g) GROUP BY ALL) WHERE d > 0 GROUP BY key),
+ev AS (SELECT key, unnest(offs) AS ts, unnest(amts) AS a FROM g),
+t AS (SELECT key, max(ts) - min(ts) AS ts_range, round(stddev_samp(ts), 4) AS ts_std, round(sum(ts * a) / sum(a), 4) AS ts_weighted_mean FROM ev GROUP BY key)
+SELECT counts.*, crs.* EXCLUDE key, drs.* EXCLUDE key, coalesce(turnover, 0) AS turnover, t.* EXCLUDE key FROM counts JOIN crs USING (key) JOIN drs USING (key) LEFT JOIN gain USING (key) JOIN t USING (key)"""
+
+
+_HOOD = ("key", "num_transactions", "num_currencies", "num_sources", "num_targets", "num_source_or_target", "num_source_and_target", "num_source_only", "num_target_only", *(f"{n}_{x}_edges" for x in ("credit", "debit") for n in ("max", "mean", "median", "std")), "turnover", "ts_range", "ts_std", "ts_weighted_mean")
+for side in ("source", "target"):
+    query(f"gr05_gr06_one_hop_{side}", _hood_sql(side))(lambda spark, sf_dir, side=side: _rounded(R.one_hop(R.multi_edges(_edges(spark, sf_dir)), side).select(*_HOOD)))
+
+
+@query("gr05_full_neighbourhood")
+def gr05(spark, sf_dir):
+    return R.one_hop(R.multi_edges(_edges(spark, sf_dir)), "source")
+
+
+@query("ag16_ag17_event_times", f"""WITH {Q.EDGES}, ev AS (SELECT source_bank::BIGINT AS key, ts_s - 1661990400 AS ts, amount AS w FROM e),
+p AS (SELECT key, ts, w, (sum(w) OVER o - w / 2) / sum(w) OVER (PARTITION BY key) AS x FROM ev WINDOW o AS (PARTITION BY key ORDER BY ts, w ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT key, max(x) AS x0 FROM p WHERE x <= 0.5 GROUP BY key), r AS (SELECT key, min(x) AS x1 FROM p WHERE x > 0.5 GROUP BY key),
+m AS (SELECT key, sum(ts * w) / sum(w) AS mean FROM ev GROUP BY key)
+SELECT l.key, round(any_value(a.ts) + (0.5 - any_value(x0)) / (any_value(x1) - any_value(x0)) * (any_value(b.ts) - any_value(a.ts)), 3) AS ts_weighted_median, (SELECT round(sqrt(sum(ev.w * (ev.ts - m.mean) ** 2) / sum(ev.w)), 3) FROM ev JOIN m USING (key) WHERE ev.key = l.key) AS ts_weighted_std
+FROM l JOIN r USING (key) JOIN p a ON a.key = l.key AND a.x = x0 JOIN p b ON b.key = l.key AND b.x = x1 GROUP BY l.key""")
+def ag16(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    members = e.groupBy(F.col("source_bank").cast("long").alias("key")).agg(F.collect_list(F.struct((F.col("ts_s") - 1661990400).alias("ts"), "amount")).alias("events"))
+    return R.event_times(members).select("key", F.round("ts_weighted_median", 3).alias("ts_weighted_median"), F.round("ts_weighted_std", 3).alias("ts_weighted_std"))
+
+
+_BANKS = "b AS (SELECT source_bank::BIGINT % 5 AS key, source_bank AS s, target_bank AS t FROM e)"
+
+
+@query("gr09_gr10_gr11_degrees", f"""WITH {Q.EDGES}, {_BANKS}, d AS (SELECT key, n, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM (SELECT key, s AS n, 1 AS o, 0 AS i FROM b UNION ALL SELECT key, t, 0, 1 FROM b) GROUP BY ALL),
+p AS (SELECT b.key, x.o::DOUBLE AS o, y.i::DOUBLE AS i, (x.o + x.i)::DOUBLE AS ds, (y.o + y.i)::DOUBLE AS dt FROM b JOIN d x ON x.key = b.key AND x.n = b.s JOIN d y ON y.key = b.key AND y.n = b.t)
+SELECT m.key, max_degree, max_degree_in, max_degree_out, density, round(a.c, 5) AS assortativity_degree, round(u.c, 5) AS assortativity_degree_ud FROM
+(SELECT key, max(o + i) AS max_degree, max(i) AS max_degree_in, max(o) AS max_degree_out, round(sum(o) / (count(*) * (count(*) - 1)), 6) AS density FROM d GROUP BY key) m
+JOIN (SELECT key, corr(o, i) AS c FROM p GROUP BY key) a USING (key) JOIN (SELECT key, corr(x, y) AS c FROM (SELECT key, ds AS x, dt AS y FROM p UNION ALL SELECT key, dt, ds FROM p) GROUP BY key) u USING (key)""")
+def gr09(spark, sf_dir):
+    members = _edges(spark, sf_dir).select((F.col("source_bank").cast("long") % 5).alias("key"), F.col("source_bank").alias("source"), F.col("target_bank").alias("target"))
+    df = R.degrees(members)
+    return df.select("key", "max_degree", "max_degree_in", "max_degree_out", F.round("density", 6).alias("density"), F.round("assortativity_degree", 5).alias("assortativity_degree"), F.round("assortativity_degree_ud", 5).alias("assortativity_degree_ud"))
+
+
+_CANDIDATES = f"{_W}, u AS (SELECT source, target, sum(weight) AS weight FROM (SELECT source, target, weight FROM w UNION ALL SELECT target, source, weight FROM w) GROUP BY ALL), near AS (SELECT source AS key, target AS member FROM u QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, target) <= 3)"
+
+
+@query("gr14_jn26_candidate_sets", f"WITH {Q.EDGES}, {_CANDIDATES} SELECT key, count(*) AS members FROM (SELECT key, member FROM near UNION SELECT a.key, b.member FROM near a JOIN near b ON a.member = b.key UNION SELECT key, key FROM near) GROUP BY key")
+def gr14(spark, sf_dir):
+    """Over the heaviest three neighbours; weights are compared to nine digits so that ties don't hang on rounding."""
+    return R.candidate_sets(R.edge_totals(_edges(spark, sf_dir)), 3).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query("gr07_induced_edges", f"WITH {Q.EDGES}, mem AS (SELECT DISTINCT source_bank::BIGINT AS key, source AS member FROM e) SELECT key, count(*) AS edges FROM tot JOIN mem a ON a.member = tot.source WHERE EXISTS (SELECT 1 FROM mem b WHERE b.key = a.key AND b.member = tot.target) GROUP BY key")
+def gr07(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    members = e.select(F.col("source_bank").cast("long").alias("key"), F.col("source").alias("member")).distinct()
+    return R.induced_edges(members, R.edge_totals(e)).groupBy("key").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("gr18_turnover", f"WITH {Q.EDGES}, l AS (SELECT source_bank::BIGINT AS key, target AS n, source_currency AS c, amount AS d FROM e UNION ALL SELECT source_bank::BIGINT, source, source_currency, -amount FROM e), g AS (SELECT key, sum(d) AS turnover FROM (SELECT key, n, sum(d) AS d FROM l GROUP BY ALL) WHERE d > 0 GROUP BY key), cu AS (SELECT key, sum(d * rate) FILTER (c = 'Euro') AS eur FROM (SELECT key, n, c, sum(d) AS d FROM l GROUP BY ALL) JOIN {Q.RATES} ON name = c WHERE d > 0 GROUP BY key) SELECT key, turnover, round(eur / turnover, 6) AS turnover_eur FROM g LEFT JOIN cu USING (key)")
+def gr18(spark, sf_dir):
+    members = _edges(spark, sf_dir).withColumn("key", F.col("source_bank").cast("long"))
+    return R.turnover(members).select("key", "turnover", F.round("turnover_eur", 6).alias("turnover_eur"))
+
+
+def _community_edges(spark, sf_dir):
+    return R.edge_weights(R.edge_totals(_edges(spark, sf_dir)))
+
+
+@query("gr08_label_communities")
+def gr08(spark, sf_dir):
+    return M.label_communities(_community_edges(spark, sf_dir), 4)
+
+
+def _seed_graph(spark, sf_dir):
+    """Neighbourhood edges of every hundredth account, the query set of the bounded measures."""
+    totals = R.edge_totals(_edges(spark, sf_dir))
+    weighed = R.edge_weights(totals)
+    members = R.candidate_sets(totals, 3).where("key % 100 = 0")
+    return R.induced_edges(members, weighed)
+
+
+@query("gr12_gr13_shapes")
+def gr12(spark, sf_dir):
+    return M.shape_features(_seed_graph(spark, sf_dir))
+
+
+@query("gr15_gr16_rank_communities")
+def gr15(spark, sf_dir):
+    return M.rank_communities(_seed_graph(spark, sf_dir))
+
+
+@query("cp03_node_features")
+def cp03(spark, sf_dir):
+    """Node features of an account graph: flows over hops and in time and neighbourhood summaries, merged by account."""
+    e = _edges(spark, sf_dir)
+    multi = R.multi_edges(e)
+    flows = R.temporal_flows(e, 10)
+    return R.merged_features({"hop": R.hop_variant(e, "dispense", 2, 10), "source": R.one_hop(multi, "source"), "target": R.one_hop(multi, "target"), "dispense": R.temporal_stats(flows, "dispense")})
