@@ -136,11 +136,20 @@ class Codec:
 
     def encode_word(self, word: str) -> bytes:
         """Ids, as little-endian int32, of a text that holds no added token."""
-        if self.latin_pattern and _LATIN(word):
-            pieces = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_SYMBOLS) for x in self.latin_pattern.findall(word.lower())]
-        else:
-            pieces = [x for x, _ in self.pretokenize(self.normalize(word))]
-        return b"".join([self.fragments[f] for piece in pieces for f in self.cuts(piece)])
+        return b"".join([self.fragments[f] for piece in self.pieces(word) for f in self.cuts(piece)])
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens in byte symbols; Latin words need no library call, and plain ones no search."""
+        if self.latin_pattern:
+            if text.isascii():
+                if text.isalpha():
+                    return [text.lower()]
+                if text[:-1].isalpha() and "!" <= text[-1] <= "~":
+                    return [text[:-1].lower(), text[-1]]
+            if _LATIN(text):
+                found = [text.lower()] if text.isalpha() else self.latin_pattern.findall(text.lower())
+                return [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_SYMBOLS) for x in found]
+        return [x for x, _ in self.pretokenize(self.normalize(text))]
 
     def encode_plain(self, text: str) -> bytes:
         """White space never joins with its neighbours, so the words between it can be encoded alone."""

@@ -33,10 +33,15 @@ SHARD_ROWS = "key long, file string, part int, offset long, length int, local_st
 
 
 class LibraryCodec(bpe.Codec):
-    """The tokenizers library's own encoding, asked once for each distinct word."""
+    """The tokenizers library's own model, asked for the pre-tokens of each distinct word."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.by_id, self.ask = [np.int32(k).astype("<i4").tobytes() for k in range(len(self.tokens))], self.library.model.tokenize
 
     def encode_word(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
+        by_id = self.by_id
+        return b"".join([by_id[t.id] for piece in self.pieces(word) for t in self.ask(piece)])
 
 
 @lru_cache(maxsize=2)
@@ -46,7 +51,7 @@ def library_codec(path: str) -> LibraryCodec:
 
 def serialized(codec: LibraryCodec, text: str | None, end_id: int, width: int) -> tuple[bytes, int]:
     """The ids of a text and end_id, little-endian in width bytes each, and their count."""
-    ids = np.append(np.frombuffer(codec.encode(text), "<i4"), np.int32(end_id))
+    ids = np.frombuffer(codec.encode(text) + end_id.to_bytes(4, "little"), "<i4")
     return ids.astype(f"<u{width}").tobytes(), len(ids)
 
 
