@@ -162,7 +162,7 @@ def node_features(pages: DataFrame) -> DataFrame:
                 found = blocks(page)
                 if not found:
                     continue
-                same, seen = _hash(max((t for _, t in found), key=len)), set()
+                same, seen = _hash("\n".join(t for _, t in found)), set()
                 for node, text in found:
                     feature = _hash(text)
                     for n in tellable_paths(node):
