@@ -24,11 +24,11 @@ def check_shares(train: float, valid: float) -> None:
 def split_by_count(tx: DataFrame, train: float = 0.6, valid: float = 0.2, per_lead: int = 3600) -> DataFrame:
     """bucket by position in time: the first floor(n train) rows, the next floor(n valid), the rest; ties by id."""
     check_shares(train, valid)
-    ranked = W.global_rank(tx, F.floor(F.col("ts_s") / per_lead), ("ts_s", "transaction_id"), "_rank")
+    ranked = W.global_rank(tx, F.floor(F.col("ts_s") / per_lead), ("ts_s", "transaction_id"), "_position")
     n = tx.agg(F.count(F.lit(1)).alias("_n"))  # one row
     first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * valid)
-    bucket = F.when(F.col("_rank") <= first, TRAIN).when(F.col("_rank") <= first + second, VALID).otherwise(TEST)
-    return ranked.crossJoin(F.broadcast(n)).withColumn("bucket", bucket).drop("_rank", "_n")
+    bucket = F.when(F.col("_position") <= first, TRAIN).when(F.col("_position") <= first + second, VALID).otherwise(TEST)
+    return ranked.crossJoin(F.broadcast(n)).withColumn("bucket", bucket).drop("_position", "_n")
 
 
 def _bucket(at: Column, first: Column, second: Column) -> Column:
