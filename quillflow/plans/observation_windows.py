@@ -55,6 +55,8 @@ _sum = lambda x, w: f"coalesce(sum({x}) OVER {w}p, 0)"
 DEBIT, CREDIT = "(CASE WHEN role_ord = 0 THEN 1 ELSE 0 END)", "(CASE WHEN role_ord = 0 THEN 0 ELSE 1 END)"
 PAIR_N, PAIR_S = "(row_number() OVER pair - 1)", f"coalesce(sum({LOCAL}) OVER pairp, 0)"
 
+#: The SQL of each window column, for the oracles of whole feature sets.
+COLUMNS: dict[str, str] = {"edge_tx_count": PAIR_N}
 for name, build, columns in (
     ("wn06_own_account_prev_count", _base, {"own_account_prev_count": "row_number() OVER own - 1"}),
     ("wn07_time_since_last_tx_own", _base, {"time_since_last_tx_own": "coalesce(ts_s - lag(ts_s) OVER own, -1)"}),
@@ -70,6 +72,7 @@ for name, build, columns in (
         "own_debit_credit_count_ratio": f"round(ln(1 + {_sum(DEBIT, 'own')}) - ln(1 + {_sum(CREDIT, 'own')}), 6)"}),
     ("wn22_debit_credit_amounts", _compact, {
         "own_prev_debit_amount_sum_log": _log(_sum(f"amount_paid * {DEBIT}", "own")), "own_prev_credit_amount_sum_log": _log(_sum(f"amount_received * {CREDIT}", "own")),
+        "own_debit_credit_amount_logratio": f"round(ln(1 + {_sum(f'amount_paid * {DEBIT}', 'own')}) - ln(1 + {_sum(f'amount_received * {CREDIT}', 'own')}), 6)",
         "own_flow_balance_abs_logratio": f"round(abs(ln(1 + {_sum(f'amount_paid * {DEBIT}', 'own')}) - ln(1 + {_sum(f'amount_received * {CREDIT}', 'own')})), 6)"}),
     ("wn23_bilateral_amounts", _compact, {
         "bilateral_prev_amount_sum_log": _log(PAIR_S), "bilateral_prev_amount_mean_log": _log(f"coalesce({PAIR_S} / nullif({PAIR_N}, 0), 0)"),
@@ -82,6 +85,7 @@ for name, build, columns in (
         "same_currency": "(payment_currency = receiving_currency)::BIGINT", "is_sender": "(role_ord = 0)::BIGINT", "internal_transfer": "(own_bank = cp_bank)::BIGINT",
         "self_account": "(own_account = cp_account AND own_bank = cp_bank)::BIGINT", "is_new_cp": "(row_number() OVER pair = 1)::BIGINT"}),
 ):
+    COLUMNS |= columns
     query(name, _sql(**columns))(_observed(build, *columns))
 
 query("wn11_new_cp_24h", Q.obs(f"SELECT transaction_id, role_ord::BIGINT AS role_ord, {Q.trailing('sum(n)', Q.OWN, DAY)}::BIGINT AS new_cp_24h FROM (SELECT *, (row_number() OVER pair = 1)::INT AS n FROM obs WINDOW {Q.WINDOWS})"))(_observed(_bursts, "new_cp_24h"))

@@ -8,7 +8,7 @@ from ..functions import windows as W
 from ..operators import features as X
 from ..sources.constants import DAY, HALF_LIFE, HOUR
 from ..sources.tables import transactions
-from . import sql as Q
+from . import observation_windows as O, sql as Q
 from .registry import query
 
 
@@ -73,31 +73,50 @@ query(
 def _set(name):
     def run(spark, sf_dir):
         df = X.sender_features(transactions(spark, sf_dir), name)
-        kinds = dict(df.dtypes)
-        names = [c for c in df.columns if c not in X.IDS]
-        return df.select("transaction_id", *(F.round(F.col(c).cast("double"), 5).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) for c in names))
+        return _kept(df, [c for c in df.columns if c not in X.IDS])
 
     return run
 
 
-_FORMATS = ", ".join(f"(payment_format = '{v}')::BIGINT AS {n}" for v, n in (("1-URGENT", "payment_format_1_urgent"), ("2-HIGH", "payment_format_2_high"), ("3-MEDIUM", "payment_format_3_medium"), ("4-NOT SPECIFIED", "payment_format_4_not_specified"), ("5-LOW", "payment_format_5_low")))
-_BASE = f"""b AS (SELECT *, extract(hour FROM make_timestamp(ts_s * 1000000))::BIGINT AS hour, (isodow(make_timestamp(ts_s * 1000000)) - 1)::BIGINT AS dayofweek,
-  round(ln(1 + amount_paid), 5) AS log_amount_paid, round(ln(1 + amount_received), 5) AS log_amount_received, (payment_currency = receiving_currency)::BIGINT AS same_currency,
-  (own_account = cp_account AND own_bank = cp_bank)::BIGINT AS self_account, (role_ord = 0)::BIGINT AS is_sender, (own_bank = cp_bank)::BIGINT AS internal_transfer,
-  row_number() OVER own - 1 AS own_account_prev_count, coalesce(ts_s - lag(ts_s) OVER own, -1) AS time_since_last_tx_own, row_number() OVER pair - 1 AS counterparty_prev_count,
-  coalesce(ts_s - lag(ts_s) OVER pair, -1) AS time_since_last_tx_counterparty, row_number() OVER same - 1 AS same_amount_cnt,
-  round(ln(1 + coalesce(amount_paid / nullif(avg(amount_paid) OVER ownp, 0), 1.0)), 5) AS amt_vs_prevmean, (amount_paid % 1000 = 0)::BIGINT AS amount_round1k,
-  ({Q.trailing('count(*)', Q.OWN, DAY)})::BIGINT AS tx_24h, {_FORMATS} FROM obs WINDOW {Q.WINDOWS}),
-c AS (SELECT *, (counterparty_prev_count = 0)::BIGINT AS is_new_cp FROM b), d AS (SELECT *, ({Q.trailing('sum(is_new_cp)', Q.OWN, DAY)})::BIGINT AS new_cp_24h FROM c)"""
-_FMT = ("payment_format_1_urgent", "payment_format_2_high", "payment_format_3_medium", "payment_format_4_not_specified", "payment_format_5_low")
-for name in ("old", "old_new", "old_same_amount", "old_amount_core", "compact_core"):
-    names = X.feature_sets(_FMT)[name][0]
-    query(f"cp10_set_{name}", f"WITH {Q.OBS}, {_BASE} SELECT transaction_id, {', '.join(names)} FROM d WHERE role_ord = 0")(_set(name))
-_AFTER = f"""s AS (SELECT *, ({DISTINCT.format('cp_account')})::BIGINT AS same_amount_receivers_prev, ({DISTINCT.format('cp_bank')})::BIGINT AS same_amount_receiver_banks_prev FROM d WHERE role_ord = 0)"""
-names = X.feature_sets(_FMT)["compact_core_same_amount_spread"][0]
-query("cp10_set_compact_core_same_amount_spread", f"WITH {Q.OBS}, {_BASE}, {_AFTER} SELECT transaction_id, {', '.join(names)} FROM s")(_set("compact_core_same_amount_spread"))
-for name in ("old_repeated_extended", "compact_core_edge", "compact_core_node_flow", "compact_core_graph", "compact_core_window_amount", "compact_core_same_amount_spread_decay12h", "compact_core_receiver_bank_burst", "compact_core_candidates_all", "compact_core_behavior_shift", "compact_core_behavior_shift_v2", "top10_compact", "compact_h"):
-    query(f"cp10_set_{name}")(_set(name))
+_FORMATS = {n: f"(payment_format = '{v}')::BIGINT" for v, n in (("1-URGENT", "payment_format_1_urgent"), ("2-HIGH", "payment_format_2_high"), ("3-MEDIUM", "payment_format_3_medium"), ("4-NOT SPECIFIED", "payment_format_4_not_specified"), ("5-LOW", "payment_format_5_low"))}
+_listed = lambda columns: ", ".join(f"{e} AS {n}" for n, e in columns.items())
+_PAYER = {
+    "sender_tx_1h": f"({T1})::BIGINT - 1", "sender_tx_24h": f"({T24})::BIGINT - 1", "sender_amount_sum_24h_log": f"round(ln(1 + {S24}), 6)", "sender_amount_mean_24h_log": f"round(ln(1 + coalesce({S24} / nullif({T24} - 1, 0), 0)), 6)",
+    "same_amount_receivers_prev": f"({DISTINCT.format('cp_account')})::BIGINT", "same_amount_receiver_banks_prev": f"({DISTINCT.format('cp_bank')})::BIGINT",
+}
+_SHIFTED = {
+    "sender_tx_24h_vs_prev_mean": f"round(({T24} - 1) / (own_account_prev_count / greatest((ts_s - first_value(ts_s) OVER own) / 86400.0, 1.0) + 1.0), 6)",
+    "sender_amount_24h_vs_prev_mean": f"round({S24} / (coalesce(coalesce(sum(amount_paid) OVER ownp, 0) / nullif(own_account_prev_count, 0), 0) + 1.0), 6)",
+    "same_amount_24h_cnt": f"({Q.trailing('count(*)', Q.SAME, DAY)})::BIGINT - 1",
+    "sender_format_ratio_prev": "round((row_number() OVER fmt - 1) / (own_account_prev_count + 1.0), 6)",
+    "counterparty_unique_24h_ratio": f"round(accounts.n / ({T24} - 1 + 1.0), 6)",
+}
+_PAY_DECAY = "(SELECT a.transaction_id, round(coalesce(sum(pow(0.5, (a.ts_s - b.ts_s) / 43200.0)), 0), 6) AS d FROM pay a LEFT JOIN pay b ON a.own_bank = b.own_bank AND a.own_account = b.own_account AND (b.ts_s, b.transaction_id) < (a.ts_s, a.transaction_id) GROUP BY ALL)"
+
+
+def _set_sql(names, families) -> str:
+    """A set from its columns' SQL: windows over both roles, then over payer rows."""
+    seen = {n: e for n, e in (O.COLUMNS | _FORMATS).items() if n in names or n in ("own_account_prev_count", "is_new_cp")}
+    late = {"new_cp_24h": f"({Q.trailing('sum(is_new_cp)', Q.OWN, DAY)})::BIGINT", "own_unique_counterparties_prev": "coalesce(sum(is_new_cp) OVER ownp, 0)::BIGINT"}
+    late = {n: e for n, e in late.items() if n in names}
+    payer = dict(_PAYER) if "candidates" in families or "shift" in families else {}
+    payer |= _SHIFTED if "shift" in families else {}
+    payer = {n: e for n, e in payer.items() if n in names}
+    if "shift" in families:
+        seen.pop("same_amount_24h_cnt", None)
+    joins = ""
+    if "receiver_bank_count_24h" in names:
+        payer["receiver_bank_count_24h"], joins = "banks.n::BIGINT", joins + f" JOIN {_recent('cp_bank')} banks USING (transaction_id)"
+    if "counterparty_unique_24h_ratio" in names:
+        joins += f" JOIN {_recent('cp_account')} accounts USING (transaction_id)"
+    if "own_decay_count_12h" in names:
+        payer["own_decay_count_12h"], joins = "decays.d", joins + f" JOIN {_PAY_DECAY} decays USING (transaction_id)"
+    stages = f"x AS (SELECT *, {_listed(seen)} FROM obs WINDOW {Q.WINDOWS}), y AS (SELECT *{', ' + _listed(late) if late else ''} FROM x WINDOW {Q.WINDOWS}), z AS (SELECT y.*{', ' + _listed(payer) if payer else ''} FROM (SELECT * FROM y WHERE role_ord = 0) y{joins} WINDOW {Q.WINDOWS})"
+    return f"WITH {Q.OBS}, {stages} SELECT transaction_id, {', '.join(names)} FROM z"
+
+
+for name, (names, families) in X.feature_sets(tuple(_FORMATS)).items():
+    query(f"cp10_set_{name}", _set_sql(names, families))(_set(name))
 
 
 @query("prj12_feature_matrix", Q.obs(f"SELECT transaction_id, round(ln(1 + amount_paid), 4) AS log_amount_paid, (row_number() OVER own - 1)::DOUBLE AS own_account_prev_count FROM obs WINDOW {Q.WINDOWS} QUALIFY role_ord = 0"))
