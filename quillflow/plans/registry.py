@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "observation_windows", "payer_windows", "scale_windows", "relations", "graphs", "evaluations", "models")
+_MODULES = ("scans", "observation_windows", "payer_windows", "scale_windows", "relations", "graphs", "evaluations", "models", "details")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
