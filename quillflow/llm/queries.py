@@ -31,7 +31,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-store")
     token_store.write_store(documents(spark, sf_dir), path, tokenizer_path())
-    return token_store.with_crc32(token_store.read_store(spark, path))
+    return token_store.checksums(spark, path)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

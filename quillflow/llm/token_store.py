@@ -16,13 +16,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from . import bpe
 
@@ -133,11 +134,16 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     return spark.read.parquet(f"{path}/index")
 
 
-def read_store(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
-    """(key, start, n_tokens, ids) read from the shards for all rows of the index, or of the part of it given."""
+def read_store(spark: SparkSession, path: str, index: DataFrame | None = None, derive: tuple[str, pa.DataType, Callable[[np.ndarray], object]] | None = None) -> DataFrame:
+    """(key, start, n_tokens, ids) read from the shards for all rows of the index, or of the part of it given.
+
+    With derive, a name, a type and a function of a document's ids, that column stands for the ids, which then
+    needn't leave the worker that read them.
+    """
     entries = spark.read.parquet(f"{path}/index") if index is None else index
     (head,) = spark.read.parquet(f"{path}/dictionary").collect()
     shared, digest, width = bytes(head.dictionary), head.dict_hash, head.width
+    name, kind, value = derive or ("ids", pa.list_(pa.int32()), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -148,19 +154,21 @@ def read_store(spark: SparkSession, path: str, index: DataFrame | None = None) -
             table = batch.to_pydict()
             if any(h != digest for h in table["dict_hash"]):
                 raise ValueError("a document was packed with another dictionary")
-            found: list[bytes] = [b""] * batch.num_rows
+            found: list = [None] * batch.num_rows
             by_file: dict[str, list[int]] = {}
             for k, f in enumerate(table["file"]):
                 by_file.setdefault(f, []).append(k)
-            for name, rows in by_file.items():
-                with source.open_input_file(f"{base}/{name}") as file:
+            for file_name, rows in by_file.items():
+                with source.open_input_file(f"{base}/{file_name}") as file:
                     for k in sorted(rows, key=table["offset"].__getitem__):
                         file.seek(table["offset"][k])
-                        raw = unpacker.decompress(file.read(table["length"][k]))
-                        found[k] = np.frombuffer(raw, f"<u{width}").astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), bpe.id_lists(found)], ["key", "start", "n_tokens", "ids"])
+                        ids = np.frombuffer(unpacker.decompress(file.read(table["length"][k])), f"<u{width}")
+                        found[k] = value(ids) if value else ids.astype("<i4").tobytes()
+            column = pa.array(found, kind) if value else bpe.id_lists(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), column], ["key", "start", "n_tokens", name])
 
-    return entries.select("key", "start", "n_tokens", "file", "offset", "length", "dict_hash").mapInArrow(run, "key long, start long, n_tokens long, ids array<int>")
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "start", "n_tokens")), T.StructField(name, from_arrow_type(kind))])
+    return entries.select("key", "start", "n_tokens", "file", "offset", "length", "dict_hash").mapInArrow(run, schema)
 
 
 def read_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -168,12 +176,7 @@ def read_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame
     return read_store(spark, path, spark.read.parquet(f"{path}/index").where(F.col("key").isin(keys)))
 
 
-def with_crc32(stored: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in bpe.id_arrays(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of a store: the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    read = read_store(spark, path, derive=("ids_crc32", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes())))
+    return read.withColumnRenamed("key", "doc_id")
