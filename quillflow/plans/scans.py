@@ -333,8 +333,8 @@ def sc27(spark, sf_dir):
     return spark.createDataFrame([(r, S.policy_id(r)) for r in (0.95, 0.9, 0.999)], "retention double, policy string")
 
 
-@query("d03_currency_dimension", "SELECT name, code, rate AS usd_rate FROM " + Q.RATES)
-def d03(spark, sf_dir):
+@query("dim_currencies", "SELECT name, code, rate AS usd_rate FROM " + Q.RATES)
+def dim_currencies(spark, sf_dir):
     return T.currencies(spark)
 
 
