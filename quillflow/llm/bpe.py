@@ -36,16 +36,16 @@ _LATIN_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
 class Memo(dict):
     """A bounded dictionary that computes what it lacks; when full, what was not used again is forgotten."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.entries, self.older = compute, entries, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -84,7 +84,7 @@ class Codec:
         for token, k in [*self.vocab.items(), *self.added.items()]:
             self.tokens[k] = token
         self.token_bytes = [t.encode() for t in self.tokens]
-        self.fragments = Memo(self.merge)
+        self.fragments = Memo(self.merge, MEMO_ENTRIES // 2)
         self.words = Memo(self.encode_word)
 
     @staticmethod

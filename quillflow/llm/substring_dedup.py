@@ -32,7 +32,7 @@ from .bpe import Memo
 
 WINDOW = 13
 #: Bytes of text of a chunk, about: what a task holds at once. Packed cells number (all bytes / CHUNK_BYTES) squared at most.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 _word_hashes = Memo(xxhash.xxh64_intdigest)
 
