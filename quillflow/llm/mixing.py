@@ -128,7 +128,8 @@ class Mix:
 
     def mixed_sizes(self) -> DataFrame:
         """(doc_id, src, size, source_size, target, taken): one row per input row."""
-        times = self.picks.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
+        # picks grow with the corpus, and their estimate, from before the explode, says otherwise: no broadcast
+        times = self.picks.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         found = self.pieces().join(times, ["src", "block"], "left")
         taken = F.coalesce(F.sum((F.col("stop") - F.col("first")) * F.col("times")), F.lit(0)).cast("long")
         by_row = found.groupBy("src", "bucket", "number", "doc_id", "size").agg(taken.alias("taken"))
@@ -150,8 +151,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     A document that a pass takes whole keeps its text; of others the taken words remain, joined by one space.
     """
     mixed = Mix(docs, block, shard_slots, seed)
-    taken = mixed.pieces().join(mixed.picks, ["src", "block"]).groupBy("src", "bucket", "number", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("runs"), F.sum(F.col("stop") - F.col("first")).alias("words"))
-    whole = placed(docs, "text", "lang", "source").join(taken, ["src", "bucket", "number"])
+    taken = mixed.pieces().join(mixed.picks.hint("merge"), ["src", "block"]).groupBy("src", "bucket", "number", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("runs"), F.sum(F.col("stop") - F.col("first")).alias("words"))
+    whole = placed(docs, "text", "lang", "source").join(taken.hint("merge"), ["src", "bucket", "number"])
     words = F.array_remove(F.split("text", SPACE), "")
     cut = let(words, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, r["first"].cast("int") + 1, (r["stop"] - r["first"]).cast("int")))), " "))
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut)
