@@ -43,6 +43,7 @@ def payer_rows(obs: DataFrame) -> DataFrame:
     return obs.where(is_payer())
 
 
+# The names of features, groups and sets here and below.
 BASE = (
     "hour", "dayofweek", "log_amount_paid", "log_amount_received", "same_currency", "self_account", "is_sender", "internal_transfer",
     "own_account_prev_count", "time_since_last_tx_own", "counterparty_prev_count", "time_since_last_tx_counterparty",

@@ -19,6 +19,7 @@ AMOUNT, BANK = (*SRC, "amount_paid"), ("to_bank",)
 ORDER = ("ts_s", "transaction_id")
 MODES = ("bank_local", "strict_sender")
 
+# The names of features and sets.
 MAINLINE = (
     "log_amount_paid", "log_amount_received", "same_currency", "own_account_prev_count", "time_since_last_tx_own", "counterparty_prev_count", "time_since_last_tx_counterparty",
     "payment_format_", "same_amount_cnt", "same_amount_receivers_prev", "same_amount_receiver_banks_prev", "own_decay_count_12h",

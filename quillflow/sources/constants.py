@@ -28,6 +28,7 @@ RAW_COLUMNS = (
 )
 RAW_TIMESTAMP = "yyyy/MM/dd HH:mm"
 
+# Window lengths in seconds, the half-life of decayed counts, target retentions.
 DAY, HOUR = 86_400, 3_600
 HALF_LIFE = 12 * HOUR
 TARGETS = (0.999, 0.99, 0.98, 0.95, 0.90, 0.85)

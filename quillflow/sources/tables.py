@@ -138,7 +138,7 @@ class FeatureConfig:
 class Config:
     """A pipeline's settings; sections that a file leaves out keep their defaults."""
 
-    dataset: str = "HI-Small"
+    dataset: str = "transactions"
     split: SplitConfig = field(default_factory=SplitConfig)
     model: ModelConfig = field(default_factory=ModelConfig)
     features: FeatureConfig = field(default_factory=FeatureConfig)

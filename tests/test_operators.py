@@ -138,9 +138,9 @@ def test_patterns_and_lines(spark, tmp_path):
 
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
-    path.write_text('dataset = "HI-Small"\n[model]\nn_estimators = 10\n')
+    path.write_text('dataset = "small"\n[model]\nn_estimators = 10\n')
     config = T.load_config(str(path))
-    assert (config.dataset, config.model.n_estimators, config.model.n_bits, config.split.train) == ("HI-Small", 10, 3, 0.6)
+    assert (config.dataset, config.model.n_estimators, config.model.n_bits, config.split.train) == ("small", 10, 3, 0.6)
     path.write_text("[other]\nx = 1\n")
     with pytest.raises(ValueError):
         T.load_config(str(path))
