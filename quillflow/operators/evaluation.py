@@ -72,12 +72,25 @@ def split_summary(split: DataFrame, label: str = "is_laundering") -> DataFrame:
     return split.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("illicit"), F.avg(label).alias("rate"))
 
 
+#: Score ranges that running counts are summed by first.
+RANGES = 4096
+
+
 def by_score(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, pos, n, tp, kept, positives, total): running counts down the distinct scores."""
-    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(W.PRECEDING, W.CURRENT)
-    every = Window.partitionBy()
-    return per.withColumns({"tp": F.sum("pos").over(down), "kept": F.sum("n").over(down), "positives": F.sum("pos").over(every), "total": F.sum("n").over(every)})
+    """(score, pos, n, tp, kept, positives, total): running counts down the distinct scores.
+
+    A model gives about as many scores as rows, so no window holds them all: they run within ranges of scores,
+    and only the sums of ranges meet in one.
+    """
+    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("_r", F.floor(F.col("score") * RANGES))
+    above, every = Window.orderBy(F.col("_at").desc()), Window.partitionBy()
+    ranges = per.groupBy(F.col("_r").alias("_at")).agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n")).select(
+        "_at", (F.sum("_p").over(above) - F.col("_p")).alias("_tp"), (F.sum("_n").over(above) - F.col("_n")).alias("_kept"), F.sum("_p").over(every).alias("positives"), F.sum("_n").over(every).alias("total")
+    )
+    down = Window.partitionBy("_r").orderBy(F.col("score").desc()).rowsBetween(W.PRECEDING, W.CURRENT)
+    inside = per.withColumns({"_itp": F.sum("pos").over(down), "_ikept": F.sum("n").over(down)})
+    joined = inside.join(ranges, F.col("_r").eqNullSafe(F.col("_at")))
+    return joined.select("score", "pos", "n", (F.col("_tp") + F.col("_itp")).alias("tp"), (F.col("_kept") + F.col("_ikept")).alias("kept"), "positives", "total")
 
 
 def retention_thresholds(df: DataFrame, targets: Sequence[float] = TARGETS, label: str = "label", score: str = "score") -> DataFrame:
