@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Entries of each of a memo's two generations: bounds a worker's memory whatever the vocabulary of the corpus.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 120_000
 #: Longer words are encoded without being remembered.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer's white space does not include them.
@@ -79,11 +79,7 @@ class Codec:
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else str
         self.pretokenize = self.library.pre_tokenizer.pre_tokenize_str
-        top = max([*self.vocab.values(), *self.added.values()])
-        self.tokens = [""] * (top + 1)
-        for token, k in [*self.vocab.items(), *self.added.items()]:
-            self.tokens[k] = token
-        self.token_bytes = [t.encode() for t in self.tokens]
+        self.size = 1 + max([*self.vocab.values(), *self.added.values()])
         self.fragments = Memo(self.merge, MEMO_ENTRIES // 2)
         self.words = Memo(self.encode_word)
 
@@ -165,9 +161,29 @@ class Codec:
         parts = self.added_pattern.split(text)
         return b"".join(np.array([self.added[p]], "<i4").tobytes() if p in self.added else self.encode_plain(p) for p in parts)
 
+
+class Decoder:
+    """The tokens of a file by id; needs no merges and no memo."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec.get("decoder"):
+            raise ValueError("a file without decoder is needed: its tokens are joined by spaces")
+        named = [*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]
+        self.tokens = [b""] * (1 + max(k for _, k in named))
+        for token, k in named:
+            self.tokens[k] = token.encode()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens joined by one space, as the library does for a file without decoder; UTF-8."""
-        return b" ".join(map(self.token_bytes.__getitem__, ids.tolist()))
+        return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder per worker process and file."""
+    return Decoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +230,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id
     key_field = source.schema[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(tokenizer_path).decode
+        decode = decoder(tokenizer_path).decode
         for batch in batches:
             texts = [decode(x) for x in id_arrays(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()).cast(pa.string())], [key, "ids", "decoded"])

@@ -38,7 +38,8 @@ class LibraryCodec(bpe.Codec):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.by_id, self.ask = [np.int32(k).astype("<i4").tobytes() for k in range(len(self.tokens))], self.library.model.tokenize
+        self.by_id, self.ask = [np.int32(k).astype("<i4").tobytes() for k in range(self.size)], self.library.model.tokenize
+        self.words = bpe.Memo(self.encode_word, 2 * bpe.MEMO_ENTRIES)
 
     def encode_word(self, word: str) -> bytes:
         by_id = self.by_id
@@ -57,7 +58,7 @@ def serialized(codec: LibraryCodec, text: str | None, end_id: int, width: int) -
 
 
 def id_width(tokenizer_path: str) -> int:
-    return 2 if len(library_codec(tokenizer_path).tokens) <= 1 << 16 else 4
+    return 2 if library_codec(tokenizer_path).size <= 1 << 16 else 4
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> bytes:
