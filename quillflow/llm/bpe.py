@@ -238,12 +238,26 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id
     return source.mapInArrow(run, f"{key_field.name} {key_field.dataType.simpleString()}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode_documents and decode_documents in one pass, so that ids visit one worker only."""
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    key_field = source.schema[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decode = codec(tokenizer_path).encode, decoder(tokenizer_path).decode
+        for batch in batches:
+            ids = id_lists([encode(x) for x in batch.column(1).to_pylist()])
+            texts = pa.array([decode(x) for x in id_arrays(ids)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, texts], [key, "ids", "decoded"])
+
+    return source.mapInArrow(run, f"{key_field.name} {key_field.dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, from encode_documents and decode_documents."""
-    decoded = decode_documents(encode_documents(docs, tokenizer_path), tokenizer_path)
-    return decoded.select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, from round_trip."""
+    return round_trip(docs, tokenizer_path).select(
         "doc_id",
-        F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<int>")).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

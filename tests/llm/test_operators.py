@@ -66,6 +66,9 @@ def test_bpe_equals_the_library(docs, none, library):
         want.add((key, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert found == want
     assert bpe.round_trip_digests(none, queries.tokenizer_path()).count() == 0
+    apart = bpe.decode_documents(bpe.encode_documents(docs, queries.tokenizer_path()), queries.tokenizer_path())
+    together = bpe.round_trip(docs, queries.tokenizer_path())
+    assert Counter(map(str, apart.collect())) == Counter(map(str, together.collect()))
 
 
 @pytest.mark.parametrize("kind", [bpe.Codec, token_store.LibraryCodec])
