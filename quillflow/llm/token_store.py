@@ -39,7 +39,7 @@ class LibraryCodec(bpe.Codec):
     def __init__(self, path: str):
         super().__init__(path)
         self.by_id, self.ask = [np.int32(k).astype("<i4").tobytes() for k in range(self.size)], self.library.model.tokenize
-        self.words = bpe.Memo(self.encode_word, 2 * bpe.MEMO_ENTRIES)
+        self.words = bpe.Memo(self.encode_word, 4 * bpe.MEMO_ENTRIES)
 
     def encode_word(self, word: str) -> bytes:
         by_id = self.by_id
