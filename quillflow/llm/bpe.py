@@ -58,7 +58,7 @@ class Codec:
     Normaliser, pre-tokenizer and added tokens are those of the file; the merges are applied here.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -80,8 +80,8 @@ class Codec:
         self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else str
         self.pretokenize = self.library.pre_tokenizer.pre_tokenize_str
         self.size = 1 + max([*self.vocab.values(), *self.added.values()])
-        self.fragments = Memo(self.merge, MEMO_ENTRIES // 2)
-        self.words = Memo(self.encode_word)
+        self.fragments = Memo(self.merge, entries // 2)
+        self.words = Memo(self.encode_word, entries)
 
     @staticmethod
     def known_pattern(spec: dict) -> re.Pattern | None:
@@ -187,9 +187,9 @@ def decoder(path: str) -> Decoder:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """One codec per worker process and file."""
-    return Codec(path)
+def codec(path: str, entries: int = MEMO_ENTRIES) -> Codec:
+    """One codec per worker process, file and memo size."""
+    return Codec(path, entries)
 
 
 def id_lists(encoded: list[bytes]) -> pa.Array:
@@ -238,13 +238,16 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id
     return source.mapInArrow(run, f"{key_field.name} {key_field.dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, decoded): encode_documents and decode_documents in one pass, so that ids visit one worker only."""
+def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", entries: int = 2 * MEMO_ENTRIES) -> DataFrame:
+    """(key, ids, decoded): encode_documents and decode_documents in one pass, so that ids visit one worker only.
+
+    One worker a task instead of two leaves memory for larger memos.
+    """
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     key_field = source.schema[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, decode = codec(tokenizer_path).encode, decoder(tokenizer_path).decode
+        encode, decode = codec(tokenizer_path, entries).encode, decoder(tokenizer_path).decode
         for batch in batches:
             ids = id_lists([encode(x) for x in batch.column(1).to_pylist()])
             texts = pa.array([decode(x) for x in id_arrays(ids)], pa.binary()).cast(pa.string())
