@@ -173,22 +173,20 @@ def gr08(spark, sf_dir):
     return M.label_communities(_community_edges(spark, sf_dir), 4)
 
 
-def _seed_graph(spark, sf_dir):
-    """Neighbourhood edges of every hundredth account, the query set of the bounded measures."""
+def _neighbourhoods(spark, sf_dir):
+    """The candidate set of every account, and the account graph with the reference's weights, up to a factor."""
     totals = R.edge_totals(_edges(spark, sf_dir))
-    weighed = R.edge_weights(totals)
-    members = R.candidate_sets(totals, 3).where("key % 100 = 0")
-    return R.induced_edges(members, weighed)
+    return R.candidate_sets(totals), R.edge_weights(totals).withColumn("weight", F.col("amount") * F.col("weight"))
 
 
 @query("gr12_gr13_shapes")
 def gr12(spark, sf_dir):
-    return M.shape_features(_seed_graph(spark, sf_dir))
+    return M.induced_shapes(*_neighbourhoods(spark, sf_dir))
 
 
 @query("gr15_gr16_rank_communities")
 def gr15(spark, sf_dir):
-    return M.rank_communities(_seed_graph(spark, sf_dir))
+    return M.induced_rank_communities(*_neighbourhoods(spark, sf_dir))
 
 
 @query("cp03_node_features")
