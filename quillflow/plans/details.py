@@ -129,6 +129,15 @@ def jn05(spark, sf_dir):
     return joined.groupBy(F.col("first").alias("source"), "target").agg(F.sum(F.least("a", "amount")).alias("amount"))
 
 
+@query("jn05_two_hop_all_edges")
+def jn05_all(spark, sf_dir):
+    """jn05_sc18 over all edges; parallel payments are summed first, so a middle account pairs relations, not payments."""
+    totals = R.edge_totals(_edges(spark, sf_dir))
+    left = totals.select(F.col("source").alias("first"), F.col("target").alias("via"), F.col("amount").alias("a"))
+    joined = left.join(totals, F.col("via") == F.col("source")).where("first <> target")
+    return joined.groupBy(F.col("first").alias("source"), "target").agg(F.sum(F.least("a", "amount")).alias("amount"))
+
+
 @query("jn08_jn10_weights_on_edges", Q.edges("SELECT e.transaction_id, round(w.weight, 8) AS weight FROM e LEFT JOIN (SELECT source, target, amount / sum(amount) OVER (PARTITION BY source) + amount / sum(amount) OVER (PARTITION BY target) AS weight FROM tot) w USING (source, target)"))
 def jn08(spark, sf_dir):
     e = _edges(spark, sf_dir)

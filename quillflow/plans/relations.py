@@ -59,6 +59,17 @@ def jn07(spark, sf_dir):
     return left.join(e, (F.col("via") == F.col("source")) & (F.col("t") <= F.col("ts_s"))).groupBy("dispense").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query("jn07_temporal_all_payments")
+def jn07_all(spark, sf_dir):
+    """jn07_temporal_join over all payments: an account's later payments are counted once per second, then looked up."""
+    e = R.as_edges(T.transactions(spark, sf_dir))
+    ends = e.select(F.inline(F.array(F.struct(F.col("source").alias("via"), "ts_s", F.lit(1).alias("n")), F.struct(F.col("target").alias("via"), "ts_s", F.lit(0).alias("n")))))
+    later = F.sum("n").over(W.Window.partitionBy("via").orderBy(F.col("ts_s").desc()).rowsBetween(W.PRECEDING, W.CURRENT))
+    counts = ends.groupBy("via", "ts_s").agg(F.sum("n").alias("n")).select("via", "ts_s", later.alias("later"))
+    paid = e.groupBy(F.col("source").alias("dispense"), F.col("target").alias("via"), "ts_s").agg(F.count(F.lit(1)).alias("payments"))
+    return paid.join(counts, ["via", "ts_s"]).groupBy("dispense").agg(F.sum(F.col("payments") * F.col("later")).alias("pairs")).where("pairs > 0")
+
+
 @query("jn11_node_features_on_edges", Q.edges("SELECT t.source, t.target, s.total AS source_total, r.total AS target_total FROM tot t LEFT JOIN (SELECT source AS k, sum(amount) AS total FROM tot GROUP BY ALL) s ON s.k = t.source LEFT JOIN (SELECT source AS k, sum(amount) AS total FROM tot GROUP BY ALL) r ON r.k = t.target"))
 def jn11(spark, sf_dir):
     totals = R.edge_totals(R.as_edges(T.transactions(spark, sf_dir)))

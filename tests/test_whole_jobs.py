@@ -100,3 +100,23 @@ def test_blocks_do_not_matter(spark, block):
     sets = spark.createDataFrame([(k, m) for k in range(6) for m in range(k, k + 4)], "key long, member long")
     edges = spark.createDataFrame([(a, a + d) for a in range(9) for d in (1, 2)], "source long, target long")
     assert sorted(tuple(r) for r in M.induced_shapes(sets, edges, block).collect()) == [(k, 2, 2, 1, 0) for k in range(6)]
+
+
+def test_two_hops_over_all_edges(spark, small_dir):
+    found = {(r.source, r.target): r.amount for r in registry.queries()["jn05_two_hop_all_edges"](spark, small_dir).collect()}
+    expected: dict = {}
+    for (s, via), a in totals().items():
+        for (middle, t), b in totals().items():
+            if middle == via and s != t:
+                expected[s, t] = expected.get((s, t), 0) + min(a, b)
+    assert found == expected and any(s > 100 for s, _ in found)
+
+
+def test_temporal_pairs_of_all_payments(spark, small_dir):
+    found = {r.dispense: r.pairs for r in registry.queries()["jn07_temporal_all_payments"](spark, small_dir).collect()}
+    expected: dict = {}
+    for j, (s, via, _) in enumerate(PAYMENTS):
+        for k, (middle, _, _) in enumerate(PAYMENTS):
+            if middle == via and j % 5 <= k % 5:
+                expected[s] = expected.get(s, 0) + 1
+    assert found == expected and max(found) > 300
