@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S, windows as W
 from ..operators import evaluation as E, features as X, graph as R, ml as M, publish as P, staging as G
@@ -121,6 +123,24 @@ def jn04(spark, sf_dir):
     return totals.join(anchors, F.col("source") == F.col("node")).select("source", "target", F.least("amount", "total").alias("amount"))
 
 
+def _anchor_sql(variant: str, side: str, cap: str, both: bool) -> str:
+    anchors = f"WHERE {cap} IN (SELECT {side} FROM tot)" if both else ""
+    return f"SELECT '{variant}' AS variant, source, target, least(t.amount, c.total) AS amount FROM tot t JOIN (SELECT {cap} AS k, sum(amount) AS total FROM tot {anchors} GROUP BY {cap}) c ON c.k = t.{side}"
+
+
+@query("jn04_all_anchors", Q.edges(" UNION ALL ".join(_anchor_sql(v, *x) for v, x in R.FLOW_VARIANTS.items())))
+def jn04_all(spark, sf_dir):
+    """jn04 with the real anchors of each flow variant: all accounts of a side, or those on both sides."""
+    totals = R.edge_totals(_edges(spark, sf_dir))
+    parts = []
+    for variant, (side, cap, both) in R.FLOW_VARIANTS.items():
+        anchors = R.node_totals(totals, cap)
+        if both:
+            anchors = anchors.join(totals.select(F.col(side).alias("node")).distinct(), "node", "left_semi")
+        parts.append(totals.join(anchors, F.col(side) == F.col("node")).select(F.lit(variant).alias("variant"), "source", "target", F.least("amount", "total").alias("amount")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("jn05_sc18_two_hop_bottleneck", Q.edges("SELECT a.source, b.target, sum(least(a.amount, b.amount)) AS amount FROM (SELECT * FROM tot WHERE source < 100) a JOIN tot b ON a.target = b.source WHERE a.source <> b.target GROUP BY ALL"))
 def jn05(spark, sf_dir):
     totals = R.edge_totals(_edges(spark, sf_dir))

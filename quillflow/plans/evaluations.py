@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluation as E, publish as P
 from ..sources import tables as T
@@ -44,6 +46,34 @@ def ev03(spark, sf_dir):
     return E.split_by_chain(tx, E.quantile_cuts(tx)).select("transaction_id", "bucket")
 
 
+_BUCKETS = f"""{_CUTS}, f AS (SELECT chain_id, min(ts_s) AS t FROM tx WHERE chain_id >= 0 GROUP BY chain_id), r AS (SELECT transaction_id, row_number() OVER (ORDER BY ts_s, transaction_id) AS r, count(*) OVER () AS n FROM tx),
+ids AS (SELECT 'count' AS rule, transaction_id, CASE WHEN r <= floor(n * 0.6) THEN 0 WHEN r <= floor(n * 0.6) + floor(n * 0.2) THEN 1 ELSE 2 END AS bucket FROM r
+UNION ALL SELECT 'time', transaction_id, CASE WHEN ts_s < a THEN 0 WHEN ts_s < b THEN 1 ELSE 2 END FROM tx, cuts
+UNION ALL SELECT 'chain', transaction_id, CASE WHEN coalesce(t, ts_s) < a THEN 0 WHEN coalesce(t, ts_s) < b THEN 1 ELSE 2 END FROM tx LEFT JOIN f USING (chain_id), cuts)"""
+
+
+def _split_ids(tx):
+    """(rule, transaction_id, bucket) of the three split rules, EV1 to EV3."""
+    cuts = E.quantile_cuts(tx)
+    rules = {"count": E.split_by_count(tx), "time": E.split_by_time(tx, cuts), "chain": E.split_by_chain(tx, cuts)}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(rule).alias("rule"), "transaction_id", "bucket") for rule, df in rules.items()))
+
+
+@query("jn03_materialised_splits", f"WITH {Q.TX}, {_BUCKETS} SELECT rule, bucket, transaction_id, from_account, to_account, ts_s, amount_paid FROM ids LEFT JOIN tx USING (transaction_id)")
+def jn03(spark, sf_dir):
+    tx = T.transactions(spark, sf_dir)
+    return _split_ids(tx).join(tx, "transaction_id", "left").select("rule", "bucket", "transaction_id", "from_account", "to_account", "ts_s", "amount_paid")
+
+
+@query("so01_cumulative_splits", f"WITH {Q.TX}, {_BUCKETS}, c AS (SELECT k AS upto, transaction_id, amount_paid FROM (VALUES (0), (1), (2)) v(k) JOIN ids ON bucket <= k JOIN tx USING (transaction_id) WHERE rule = 'count') SELECT upto, count(*) AS rows, sum(amount_paid) AS amount FROM c GROUP BY upto")
+def so01(spark, sf_dir):
+    """Train; train and valid; all three, each a union by position."""
+    split = E.split_by_count(T.transactions(spark, sf_dir)).select("bucket", "transaction_id", "amount_paid")
+    train, valid, test = (split.where(F.col("bucket") == k).drop("bucket") for k in (E.TRAIN, E.VALID, E.TEST))
+    graphs = (train, train.union(valid), train.union(valid).union(test))
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(k).alias("upto"), F.count(F.lit(1)).alias("rows"), F.sum("amount_paid").alias("amount")) for k, df in enumerate(graphs)))
+
+
 _BOTH = f"{_CUTS}, f AS (SELECT chain_id, min(ts_s) AS t FROM tx WHERE chain_id >= 0 GROUP BY chain_id), s AS (SELECT transaction_id, is_laundering, CASE WHEN ts_s < a THEN 0 WHEN ts_s < b THEN 1 ELSE 2 END AS x, CASE WHEN coalesce(t, ts_s) < a THEN 0 WHEN coalesce(t, ts_s) < b THEN 1 ELSE 2 END AS y FROM tx LEFT JOIN f USING (chain_id), cuts)"
 
 

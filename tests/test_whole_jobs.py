@@ -120,3 +120,21 @@ def test_temporal_pairs_of_all_payments(spark, small_dir):
             if middle == via and j % 5 <= k % 5:
                 expected[s] = expected.get(s, 0) + 1
     assert found == expected and max(found) > 300
+
+
+def test_anchors_are_all_accounts_of_their_side(spark, small_dir):
+    rows = registry.queries()["jn04_all_anchors"](spark, small_dir).collect()
+    sources, targets = {s for s, _ in totals()}, {t for _, t in totals()}
+    for variant, expected in (("dispense", sources), ("passthrough", sources & targets)):
+        assert {r.source for r in rows if r.variant == variant} == expected
+    for variant, expected in (("sink", targets), ("passthrough_reverse", sources & targets)):
+        assert {r.target for r in rows if r.variant == variant} == expected
+
+
+def test_splits_hold_every_row(spark, small_dir):
+    rows = registry.queries()["jn03_materialised_splits"](spark, small_dir).collect()
+    for rule in ("count", "time", "chain"):
+        assert sorted(r.transaction_id for r in rows if r.rule == rule) == list(range(len(PAYMENTS)))
+        assert sum(r.amount_paid for r in rows if r.rule == rule) == sum(totals().values())
+    grown = {r.upto: r.rows for r in registry.queries()["so01_cumulative_splits"](spark, small_dir).collect()}
+    assert grown == {0: 8, 1: 10, 2: 14}
