@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as R, graph_metrics as M
+from ..operators.node_features import node_features
 from ..sources import tables as T
 from ..sources.constants import CURRENCIES
 from . import sql as Q
@@ -191,8 +192,5 @@ def gr15(spark, sf_dir):
 
 @query("cp03_node_features")
 def cp03(spark, sf_dir):
-    """Node features of an account graph: flows over hops and in time and neighbourhood summaries, merged by account."""
-    e = _edges(spark, sf_dir)
-    multi = R.multi_edges(e)
-    flows = R.temporal_flows(e, 10)
-    return R.merged_features({"hop": R.hop_variant(e, "dispense", 2, 10), "source": R.one_hop(multi, "source"), "target": R.one_hop(multi, "target"), "dispense": R.temporal_stats(flows, "dispense")})
+    """Every feature group of an account graph, merged by account."""
+    return node_features(_edges(spark, sf_dir))

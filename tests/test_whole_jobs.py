@@ -138,3 +138,16 @@ def test_splits_hold_every_row(spark, small_dir):
         assert sum(r.amount_paid for r in rows if r.rule == rule) == sum(totals().values())
     grown = {r.upto: r.rows for r in registry.queries()["so01_cumulative_splits"](spark, small_dir).collect()}
     assert grown == {0: 8, 1: 10, 2: 14}
+
+
+def test_node_features_hold_every_group(spark, small_dir):
+    df = registry.queries()["cp03_node_features"](spark, small_dir)
+    rows = {r.key: r for r in df.collect()}
+    assert set(rows) == {x for e in totals() for x in e}
+    groups = ("label", "rank", "source", "target", "hop_dispense", "hop_sink", "hop_passthrough", "hop_passthrough_reverse", "dispense", "passthrough", "sink")
+    assert not [g for g in groups if not any(c.endswith(f"_{g}") for c in df.columns)]
+    assert all(r.anomaly_score is not None for r in rows.values())
+    for key in (1, 8, 303):
+        assert rows[key].flow_hop_1_total_hop_sink == sum(v for (s, t), v in totals().items() if t == key != s)
+    for c in set(df.columns) - {"anomaly_score"}:
+        assert len({r[c] for r in rows.values()} - {None}) > 1
