@@ -151,3 +151,15 @@ def test_node_features_hold_every_group(spark, small_dir):
         assert rows[key].flow_hop_1_total_hop_sink == sum(v for (s, t), v in totals().items() if t == key != s)
     for c in set(df.columns) - {"anomaly_score"}:
         assert len({r[c] for r in rows.values()} - {None}) > 1
+
+
+def test_final_features_of_three_graphs(spark, small_dir):
+    df = registry.queries()["cp06_jn09_final_features"](spark, small_dir)
+    order = sorted(range(len(PAYMENTS)), key=lambda k: (k % 5, k))
+    bucket = {k: (at >= 8) + (at >= 10) for at, k in enumerate(order)}
+    rows = {r.transaction_id: r for r in df.collect()}
+    assert {k: r.bucket for k, r in rows.items()} == bucket
+    for k, r in rows.items():
+        assert r.total_amount == sum(q * 100.0 for j, (s, t, q) in enumerate(PAYMENTS) if (s, t) == PAYMENTS[k][:2] and bucket[j] <= bucket[k])
+        assert r.source_anomaly_score is not None and r.anomaly_scores_diff == r.target_anomaly_score - r.source_anomaly_score
+    assert len([c for c in df.columns if c.startswith("share_")]) == 20
