@@ -11,7 +11,7 @@ from ..operators import evaluation as E, features as X, graph as R, ml as M, pub
 from ..sources import tables as T
 from ..sources.constants import RAW_TIMESTAMP
 from . import sql as Q
-from .graphs import _TEMPORAL, _edges
+from .graphs import _TEMPORAL, _TEMPORAL_WHOLE, _edges
 from .registry import query
 from .scans import _raw_text, _shared
 
@@ -105,6 +105,11 @@ def flt03(spark, sf_dir):
     return R.temporal_flows(_edges(spark, sf_dir), 10).where("dispense = sink").select("dispense", "passthrough", "amount")
 
 
+@query("flt03_jn17_cycles_whole", f"WITH {Q.EDGES}, {_TEMPORAL_WHOLE} SELECT dispense, passthrough, amount FROM f WHERE dispense = sink")
+def flt03_whole(spark, sf_dir):
+    return R.temporal_flows(_edges(spark, sf_dir)).where("dispense = sink").select("dispense", "passthrough", "amount")
+
+
 @query("flt05_positive_groups", Q.edges("SELECT n, d FROM (SELECT n, sum(d) AS d FROM (SELECT target AS n, amount AS d FROM e UNION ALL SELECT source, -amount FROM e) GROUP BY n) WHERE d > 0"))
 def flt05(spark, sf_dir):
     legs = _edges(spark, sf_dir).select(F.inline(F.array(F.struct(F.col("target").alias("n"), F.col("amount").alias("d")), F.struct(F.col("source").alias("n"), (-F.col("amount")).alias("d")))))
@@ -182,6 +187,11 @@ def ag08(spark, sf_dir):
     return R.temporal_flows(_edges(spark, sf_dir), 10).groupBy("passthrough").agg(F.count(F.lit(1)).alias("flows"), F.sum("amount").alias("amount"))
 
 
+@query("ag08_pair_flow_sums_whole", f"WITH {Q.EDGES}, {_TEMPORAL_WHOLE} SELECT passthrough, count(*) AS flows, sum(amount) AS amount FROM f GROUP BY passthrough")
+def ag08_whole(spark, sf_dir):
+    return R.temporal_flows(_edges(spark, sf_dir)).groupBy("passthrough").agg(F.count(F.lit(1)).alias("flows"), F.sum("amount").alias("amount"))
+
+
 @query("ag10_edge_counts", Q.edges("SELECT source, target, count(*) AS payments FROM e GROUP BY ALL"))
 def ag10(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("source", "target").agg(F.count(F.lit(1)).alias("payments"))

@@ -69,7 +69,12 @@ for variant, (side, cap, both) in R.FLOW_VARIANTS.items():
 
 @query("gr02_hop_flow_five_hops")
 def gr02(spark, sf_dir):
-    return R.hop_variant(_edges(spark, sf_dir), "dispense", 5, 10)
+    return R.hop_variant(_edges(spark, sf_dir), "dispense")
+
+
+# The queries whose SQL has small caps, again with the reference's: 5 hops and 50 edges, 100 neighbours.
+for variant, (side, cap, both) in R.FLOW_VARIANTS.items():
+    query(f"gr02_gr03_hop_flow_{variant}_whole", _hops_sql(side, cap, both, 5, 50))(lambda spark, sf_dir, variant=variant: _rounded(R.hop_variant(_edges(spark, sf_dir), variant)))
 
 
 _TEMPORAL = """busy AS (SELECT source, target, count(*) AS n FROM e GROUP BY ALL), le AS (SELECT source, target FROM busy QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, source) <= 10),
@@ -77,21 +82,30 @@ re AS (SELECT source, target FROM busy QUALIFY row_number() OVER (PARTITION BY s
 f AS (SELECT l.source AS dispense, r.source AS passthrough, r.target AS sink, least(sum(l.amount), sum(r.amount)) AS amount FROM (SELECT e.* FROM e JOIN le USING (source, target)) l JOIN (SELECT e.* FROM e JOIN re USING (source, target)) r ON l.target = r.source AND l.ts_s <= r.ts_s GROUP BY l.source, r.source, r.target)"""
 
 
+_TEMPORAL_WHOLE = _TEMPORAL.replace("<= 10)", "<= 50)")
+
+
 @query("gr04_temporal_flows", f"WITH {Q.EDGES}, {_TEMPORAL} SELECT dispense, passthrough, sink, amount FROM f")
 def gr04(spark, sf_dir):
     return R.temporal_flows(_edges(spark, sf_dir), 10)
 
 
-def _stats_sql(role: str) -> str:
+@query("gr04_temporal_flows_whole", f"WITH {Q.EDGES}, {_TEMPORAL_WHOLE} SELECT dispense, passthrough, sink, amount FROM f")
+def gr04_whole(spark, sf_dir):
+    return R.temporal_flows(_edges(spark, sf_dir))
+
+
+def _stats_sql(role: str, temporal: str = _TEMPORAL) -> str:
     def cols(when: str, suffix: str) -> str:
         f = f" FILTER ({when})"
         return ", ".join([f"sum(amount){f} AS amount_sum{suffix}", f"round(avg(amount){f}, 4) AS amount_mean{suffix}", f"median(amount){f} AS amount_median{suffix}", f"max(amount){f} AS amount_max{suffix}", f"round(stddev_samp(amount){f}, 4) AS amount_std{suffix}", *(f"count(DISTINCT {c}){f} AS {c}_count{suffix}" for c in ("dispense", "passthrough", "sink"))])
 
-    return f"WITH {Q.EDGES}, {_TEMPORAL} SELECT {role} AS key, {cols('true', '')}, {cols('dispense = sink', '_cycle')} FROM f GROUP BY {role}"
+    return f"WITH {Q.EDGES}, {temporal} SELECT {role} AS key, {cols('true', '')}, {cols('dispense = sink', '_cycle')} FROM f GROUP BY {role}"
 
 
 for role in ("dispense", "passthrough", "sink"):
     query(f"ag09_gr04_temporal_{role}", _stats_sql(role))(lambda spark, sf_dir, role=role: _rounded(R.temporal_stats(R.temporal_flows(_edges(spark, sf_dir), 10), role)))
+    query(f"ag09_gr04_temporal_{role}_whole", _stats_sql(role, _TEMPORAL_WHOLE))(lambda spark, sf_dir, role=role: _rounded(R.temporal_stats(R.temporal_flows(_edges(spark, sf_dir)), role)))
 
 
 def _hood_sql(side: str) -> str:
@@ -152,6 +166,11 @@ def gr14(spark, sf_dir):
     return R.candidate_sets(R.edge_totals(_edges(spark, sf_dir)), 3).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("gr14_candidate_sets_whole", f"WITH {Q.EDGES}, {_CANDIDATES.replace('<= 3)', '<= 100)')} SELECT key, count(*) AS members FROM (SELECT key, member FROM near UNION SELECT a.key, b.member FROM near a JOIN near b ON a.member = b.key UNION SELECT key, key FROM near) GROUP BY key")
+def gr14_whole(spark, sf_dir):
+    return R.candidate_sets(R.edge_totals(_edges(spark, sf_dir))).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+
+
 @query("gr07_induced_edges", f"WITH {Q.EDGES}, mem AS (SELECT DISTINCT source_bank::BIGINT AS key, source AS member FROM e) SELECT key, count(*) AS edges FROM tot JOIN mem a ON a.member = tot.source WHERE EXISTS (SELECT 1 FROM mem b WHERE b.key = a.key AND b.member = tot.target) GROUP BY key")
 def gr07(spark, sf_dir):
     e = _edges(spark, sf_dir)

@@ -14,18 +14,21 @@ from quillflow.plans import registry
 PAYMENTS = [(1, 5, 10), (2, 5, 4), (5, 7, 6), (5, 1, 3), (7, 8, 9), (7, 2, 2), (8, 8, 1), (8, 1, 5), (301, 302, 7), (302, 303, 8), (303, 301, 2), (301, 303, 1), (1, 5, 2), (7, 302, 1)]
 
 
-@pytest.fixture(scope="module")
-def small_dir(spark, tmp_path_factory):
+def written(spark, folder, payments):
     """The payments as lineitem and orders."""
-    folder = str(tmp_path_factory.mktemp("whole"))
     day = datetime.date(1995, 1, 2)
-    lines = [(k, t, 1, 1, float(q), float(q) * 10, 0.05, 0.0, "N", "O", day + datetime.timedelta(k % 5)) for k, (_, t, q) in enumerate(PAYMENTS)]
+    lines = [(k, t, 1, 1, float(q), float(q) * 10, 0.05, 0.0, "N", "O", day + datetime.timedelta(k % 5)) for k, (_, t, q) in enumerate(payments)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{folder}/lineitem.parquet")
-    orders = [(k, s, "1-URGENT") for k, (s, _, _) in enumerate(PAYMENTS)]
+    orders = [(k, s, "1-URGENT") for k, (s, _, _) in enumerate(payments)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
     return folder
 
 
+@pytest.fixture(scope="module")
+def small_dir(spark, tmp_path_factory):
+    return written(spark, str(tmp_path_factory.mktemp("whole")), PAYMENTS)
+
+
 def totals():
     out: dict = {}
     for s, t, q in PAYMENTS:
@@ -163,3 +166,14 @@ def test_final_features_of_three_graphs(spark, small_dir):
         assert r.total_amount == sum(q * 100.0 for j, (s, t, q) in enumerate(PAYMENTS) if (s, t) == PAYMENTS[k][:2] and bucket[j] <= bucket[k])
         assert r.source_anomaly_score is not None and r.anomaly_scores_diff == r.target_anomaly_score - r.source_anomaly_score
     assert len([c for c in df.columns if c.startswith("share_")]) == 20
+
+
+def test_ordinary_accounts_are_not_cut(spark, tmp_path):
+    star = [(1, t, 1 + t % 7) for t in range(2, 42)] + [(t, 100 + t, 1) for t in range(2, 42)]
+    folder, q = written(spark, str(tmp_path), star), registry.queries()
+    assert {r.flow_hop_1_number_of_nodes for r in q["gr02_hop_flow_five_hops"](spark, folder).where("key = 1").collect()} == {40}
+    hop = q["gr02_gr03_hop_flow_dispense_whole"](spark, folder).where("key = 1").first()
+    assert (hop.flow_hop_1_number_of_nodes, hop.flow_hop_2_number_of_nodes, hop.flow_hop_5_total) == (40, 40, None)
+    assert q["gr14_candidate_sets_whole"](spark, folder).where("key = 1").first().members == 81
+    later = sum(k % 5 <= (k + 40) % 5 for k in range(40))
+    assert q["gr04_temporal_flows_whole"](spark, folder).where("dispense = 1").count() == later
