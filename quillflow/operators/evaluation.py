@@ -223,7 +223,7 @@ def bin_summary(df: DataFrame, bin_column: str, label: str = "label", score: str
     return part.withColumns({"row_share_pct": 100.0 * F.col("rows") / total, "dropped_pct": 100.0 - F.col("kept_pct")})
 
 
-def bootstrap_f1(df: DataFrame, threshold: float, replicates: int = 200, seed: int = 42, label: str = "label", score: str = "score", key: str = "transaction_id") -> DataFrame:
+def bootstrap_f1(df: DataFrame, threshold: float, replicates: int = 2000, seed: int = 42, label: str = "label", score: str = "score", key: str = "transaction_id") -> DataFrame:
     """One row (f1_mean, f1_low, f1_high, f1_std): a Poisson bootstrap of F1 with 95 % bounds.
 
     Only the four cells of the confusion matrix matter, so each replicate draws their counts: rows are summed to

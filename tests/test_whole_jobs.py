@@ -7,8 +7,8 @@ import datetime
 import numpy as np
 import pytest
 
-from quillflow.operators import graph_metrics as M
-from quillflow.plans import registry
+from quillflow.operators import evaluation as E, graph_metrics as M, ml
+from quillflow.plans import models, registry
 
 #: (order's customer, part, quantity); two parts of the graph, a loop, a way through accounts 5 and 7.
 PAYMENTS = [(1, 5, 10), (2, 5, 4), (5, 7, 6), (5, 1, 3), (7, 8, 9), (7, 2, 2), (8, 8, 1), (8, 1, 5), (301, 302, 7), (302, 303, 8), (303, 301, 2), (301, 303, 1), (1, 5, 2), (7, 302, 1)]
@@ -177,3 +177,17 @@ def test_ordinary_accounts_are_not_cut(spark, tmp_path):
     assert q["gr14_candidate_sets_whole"](spark, folder).where("key = 1").first().members == 81
     later = sum(k % 5 <= (k + 40) % 5 for k in range(40))
     assert q["gr04_temporal_flows_whole"](spark, folder).where("dispense = 1").count() == later
+
+
+def test_counts_of_trees_and_replicates(spark, small_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ml, "boosted", lambda rows, names, trees=50, **other: seen.append(trees) or ml.logistic(rows, names))
+    monkeypatch.setattr(models, "_features", lambda spark, sf_dir: spark.range(40).selectExpr("id as transaction_id", "int(id % 2) as is_laundering", *(f"double(id * {k + 1} % 7) as {c}" for k, c in enumerate(models.SMALL))))
+    for name in ("ml02_ml11_boosted", "ml04_quantised"):
+        assert registry.queries()[name](spark, small_dir).count() == 40
+    assert seen == [300, 50]
+    rates = E.rates
+    monkeypatch.setattr(E, "rates", lambda drawn: seen.append(drawn.count()) or rates(drawn))
+    for name in ("ag28_bootstrap_f1", "cp16_prediction_analysis"):
+        registry.queries()[name](spark, small_dir)
+    assert seen[2:].count(2000) == 2
