@@ -186,11 +186,17 @@ def dedup(history: DataFrame, incoming: DataFrame, key: str = "doc_id", text: st
 
 
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that dedup keeps, with the columns they came with; the older half of the keys is the history."""
+    """The documents that dedup keeps, with the columns they came with; the older half of the keys is the history.
+
+    Of a group without any key one document stays.
+    """
     history, incoming = older_half(docs, key)
     found = merged_classes(stored(digests(history, key, text), "digests-old"), stored(digests(incoming, key, text), "digests-new"), key)
     others = tuple(c for c in docs.columns if c != key)
-    kept = digests(docs, key, text, others).join(found.select("digest", "keep_id"), "digest").where(F.col(key) == F.col("keep_id"))
+    winners = found.select("digest", "keep_id")
+    kept = digests(docs, key, text, others).join(winners, "digest").where(F.col(key) == F.col("keep_id"))
+    keyless = digests(docs.where(F.col(key).isNull()), key, text, others).join(winners.where("keep_id is null"), "digest").dropDuplicates(["digest"])
+    kept = kept.unionByName(keyless)
     return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
 
 

@@ -194,12 +194,12 @@ def links(classes: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
 
 
 def fingerprint_components(found: DataFrame, key: str = "doc_id", limit: int = SHARD_LIMIT) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of (key, fp)."""
+    """(fp, component_id, label) of every distinct fingerprint of (key, fp)."""
     classes = stored(found.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     labels = connected_components(links(classes, limit)).withColumnRenamed("node", "fp")
     labelled = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return stored(labelled.join(firsts, "label").select("fp", "component_id"), "components")
+    return stored(labelled.join(firsts, "label").select("fp", "component_id", "label"), "components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
@@ -214,8 +214,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
-    """One document of each component, that with the smallest key, with the columns it came with."""
+    """One document of each component, that with the smallest key or else any, with the columns it came with."""
     components = fingerprint_components(stored(fingerprints(docs, key, text), "fingerprints"), key, limit)
     others = tuple(c for c in docs.columns if c != key)
     kept = fingerprints(docs, key, text, others).join(components, "fp").where(F.col(key) == F.col("component_id"))
+    keyless = fingerprints(docs.where(F.col(key).isNull()), key, text, others).join(components.where("component_id is null"), "fp").dropDuplicates(["label"])
+    kept = kept.unionByName(keyless)
     return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
