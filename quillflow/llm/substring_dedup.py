@@ -81,9 +81,15 @@ def _rolling(words: np.ndarray, at: np.ndarray, size: int, factor: int) -> np.nd
 
 
 class Chunk:
-    """The documents of a chunk as one array of word hashes."""
+    """The documents of a chunk as one array of word hashes.
+
+    A chunk is built anew in each stage that needs it, from rows that arrive in any order: it sorts them, so
+    that a position means the same word in all stages, on any executor and after any retry.  Rows that agree in
+    key and text are interchangeable.
+    """
 
     def __init__(self, table: pa.Table, block: int, window: int, parts_log2: int):
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.block, self.window, self.parts_log2 = block, window, parts_log2
         self.ids, self.texts = table.column("doc_id").to_pylist(), table.column("text")
         hashes, sizes = [], []

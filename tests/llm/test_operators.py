@@ -248,6 +248,49 @@ def test_substring_dedup(docs, none, chunk_bytes):
     assert substring_dedup.repeats(none).count() == 0
 
 
+def test_substring_chunks_ignore_the_order_of_rows(docs):
+    """Stages see a chunk's rows in whatever order the blocks of a shuffle arrive."""
+    import pyarrow as pa
+
+    rows, rnd = pairs(docs), random.Random(8)
+
+    def built():
+        rnd.shuffle(rows)
+        return substring_dedup.Chunk(pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"]), 7, 13, 2)
+
+    first = built()
+    for _ in range(5):
+        again = built()
+        assert again.ids == first.ids and [t.as_py() for t in again.texts] == [t.as_py() for t in first.texts]
+        assert (again.hashes == first.hashes).all() and (again.key == first.key).all() and (again.left == first.left).all()
+
+
+def test_substring_dedup_on_several_executors(tmp_path):
+    """Three executors, whose blocks arrive in any order, against one."""
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    program = """
+import json, sys
+from pyspark.sql import SparkSession
+from quillflow.llm import queries
+conf = {"spark.checkpoint.dir": sys.argv[2], "spark.sql.shuffle.partitions": "5", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": sys.argv[2] + "/w"}
+spark = SparkSession.builder.master(sys.argv[1]).config(map=conf).getOrCreate()
+from quillflow.llm import substring_dedup
+docs = queries.documents(spark, sys.argv[3]).repartition(7)
+found = substring_dedup.digests(substring_dedup.repeats(docs, chunk_bytes=40_000)).collect()
+print(json.dumps(sorted(map(list, found))))
+"""
+    results = []
+    for master in ("local[2]", "local-cluster[3,1,1024]"):
+        done = subprocess.run([sys.executable, "-c", program, master, str(tmp_path), "/root/testdata/sf0.001"], capture_output=True, text=True, cwd=root, timeout=300, check=True)
+        results.append(json.loads(done.stdout.strip().splitlines()[-1]))
+    assert results[0] == results[1] and any(r[2] for r in results[0])
+
+
 def test_substring_spans(spark):
     shared = " ".join(f"p{k}" for k in range(20))
     df = spark.createDataFrame([(1, f"a {shared} b"), (2, f"c d {shared} e")], "doc_id long, text string")
