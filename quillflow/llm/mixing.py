@@ -1,17 +1,21 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of each source form one stream that is cut into blocks of fixed length.  The mix is a list of slots
-dealt to output shards; each shard draws how many of its slots every source gets, multinomial counts drawn by
-inverse CDF with stratified uniforms, so that each count stays near its expectation.  A source's k-th slot is
-mapped through a pseudorandom permutation of its block indices (a new one for each pass over the source), and
-slots meet blocks by index.
+The words of each source form one stream that is cut into blocks of fixed length.  A source gets a whole number
+of slots, as many as its target needs, and every slot is dealt to an output shard by a hash of its number.  The
+counts of a source over the shards are thus multinomial, given its total, and the counts of a shard are
+multinomial over the sources, given what the sources have in all: drawn without that condition, a source of
+few blocks would miss its target by several per cent.  A source's k-th slot is mapped through a pseudorandom
+permutation of its block indices (a new one for each pass over the source), and slots meet blocks by index.
 
 No source is handled in one task: positions in a stream are prefix sums over hashed buckets, slots are
-enumerated by ranges, and a permutation is computed index by index (swap-or-not rounds), without a sort.
+enumerated by ranges that are dealt to tasks before they are spread out, a source's shards are numbered by
+ranges too, and a permutation is computed index by index (swap-or-not rounds), without a sort.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .quality_rules import let
@@ -21,8 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words of a block, slots of an output shard, most passes over a source, weights dealt to the sources in turn.
 BLOCK, SHARD_SLOTS, PASSES, WEIGHTS = 128, 4096, 3, (1, 2, 3)
-#: Buckets that a source's stream is summed in, slots enumerated at once, rounds of the permutation, seed of all draws.
-BUCKETS, SLOT_RANGE, ROUNDS, SEED = 1024, 1 << 16, 8, 17
+#: Buckets that a source's stream is summed in, slots (and shards of a source) enumerated at once, rounds of the permutation, seed of all draws.
+BUCKETS, SLOT_RANGE, ROUNDS, SEED = 1024, 1 << 14, 8, 17
 
 
 def source_key(source: Column) -> Column:
@@ -70,19 +74,26 @@ def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return bounded.withColumn("slot_from", F.lag("slot_to", 1, 0.0).over(in_order)).select("src", "source_size", "target", "blocks", "slot_from", "slot_to")
 
 
-def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(src, blocks, shard, count): what each output shard draws from each source.
+def slot_totals(sources: DataFrame) -> DataFrame:
+    """(src, blocks, slots): whole numbers of slots, each within one of what the source should get, and so is their sum."""
+    return sources.select("src", "blocks", (F.round("slot_to") - F.round("slot_from")).cast("long").alias("slots")).where("slots > 0")
+
+
+def tasks_for(totals: DataFrame) -> int:
+    """How many tasks to spread the slots over: AQE judges rows before they are spread out, and would take one."""
+    return max(1, ceil((totals.agg(F.sum("slots")).first()[0] or 0) / SLOT_RANGE))
+
 
-    Slot j has the point j + u(j), u a hash of j in [0, 1); it goes to the source whose interval holds the
-    point and to shard j mod shards.
+def shard_counts(totals: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(src, blocks, shard, count): how many slots of each source every output shard draws.
+
+    Slot j of a source goes to a shard by a hash of (seed, source, j), whatever the other slots do.
     """
-    shards = F.greatest(F.lit(1), F.ceil(F.max("slot_to").over(Window.partitionBy()) / shard_slots)).cast("long")
-    low, high = F.floor("slot_from"), F.ceil("slot_to")
-    ranges = sources.withColumn("shards", shards).where("slot_to > slot_from").select("*", F.explode(F.sequence(F.floor(low / SLOT_RANGE), F.floor((high - 1) / SLOT_RANGE))).alias("r"))
-    slot = F.explode(F.sequence(F.greatest(F.floor("slot_from"), F.col("r") * SLOT_RANGE), F.least(F.ceil("slot_to"), (F.col("r") + 1) * SLOT_RANGE) - 1))
-    point = F.col("j") + F.pmod(F.xxhash64(F.lit(seed), "j"), F.lit(1 << 53)) / float(1 << 53)
-    drawn = ranges.repartition("src", "r").select("*", slot.alias("j")).where((point >= F.col("slot_from")) & (point < F.col("slot_to")))
-    return drawn.groupBy("src", "blocks", F.pmod("j", "shards").alias("shard")).agg(F.count(F.lit(1)).alias("count"))
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_slots)).cast("long")  # one row a source
+    ranged = totals.withColumn("shards", shards).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RANGE))).alias("r"))
+    last = F.least("slots", (F.col("r") + 1) * SLOT_RANGE) - 1
+    slots = ranged.repartition(tasks_for(totals), "src", "r").select("src", "blocks", "shards", F.explode(F.sequence(F.col("r") * SLOT_RANGE, last)).alias("j"))
+    return slots.groupBy("src", "blocks", F.pmod(F.xxhash64(F.lit(seed), "src", "j"), "shards").alias("shard")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def permuted(x: Column, n: Column, *keys: Column) -> Column:
@@ -95,12 +106,21 @@ def permuted(x: Column, n: Column, *keys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def picks(counts: DataFrame, seed: int = SEED) -> DataFrame:
-    """(src, block, turn): the blocks that the slots take; turn is the pass over the source."""
-    before = F.sum("count").over(Window.partitionBy("src").orderBy("shard")) - F.col("count")
-    slots = counts.withColumn("before", before).select("src", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("count") - 1)).alias("k"))
+def numbered(counts: DataFrame) -> DataFrame:
+    """counts with before: the slots of the source in the shards before, summed within ranges of shards first."""
+    ranged = counts.withColumn("r", F.floor(F.col("shard") / SLOT_RANGE))
+    sums = ranged.groupBy("src", "r").agg(F.sum("count").alias("n"))
+    offsets = sums.select("src", "r", (F.sum("n").over(Window.partitionBy("src").orderBy("r")) - F.col("n")).alias("offset"))
+    inside = F.sum("count").over(Window.partitionBy("src", "r").orderBy("shard")) - F.col("count")
+    return ranged.withColumn("inside", inside).join(offsets, ["src", "r"]).withColumn("before", F.col("offset") + F.col("inside")).drop("r", "inside", "offset")
+
+
+def picks(counts: DataFrame, tasks: int, seed: int = SEED) -> DataFrame:
+    """(src, shard, block, turn): the block that each slot takes; turn is the pass over the source."""
+    spread = numbered(counts).repartition(tasks, "src", "shard")
+    slots = spread.select("src", "blocks", "shard", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("count") - 1)).alias("k"))
     turned = slots.withColumns({"turn": F.floor(F.col("k") / F.col("blocks")), "k": F.col("k") % F.col("blocks")})
-    return turned.select("src", permuted(F.col("k"), F.col("blocks"), F.lit(seed), F.col("src"), F.col("turn")).alias("block"), F.col("turn").cast("int").alias("turn"))
+    return turned.select("src", "shard", permuted(F.col("k"), F.col("blocks"), F.lit(seed), F.col("src"), F.col("turn")).alias("block"), F.col("turn").cast("int").alias("turn"))
 
 
 class Mix:
@@ -110,8 +130,9 @@ class Mix:
         self.block = block
         self.rows = stored(placed(docs), "mix-rows")
         self.sources = stored(targets(self.rows, block).coalesce(1), "mix-sources")
-        self.counts = stored(shard_counts(self.sources, shard_slots, seed), "mix-shards")
-        self.picks = picks(self.counts, seed)
+        totals = slot_totals(self.sources)
+        self.counts = stored(shard_counts(totals, shard_slots, seed), "mix-shards")
+        self.picks = picks(self.counts, tasks_for(totals), seed)
 
     def pieces(self) -> DataFrame:
         """Each row's overlaps with blocks: block, first and stop as word numbers in the text; one row without block if it has no words."""
@@ -140,7 +161,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     """(doc_id, size, source_size, target, taken) of every row: how many words of it the mix takes, repeats counted.
 
     A null source is a source of its own, the last; null and empty texts have size 0 and are never taken.  No
-    row is taken more than PASSES times its size, as no block is.  An empty table gives an empty one.
+    row is taken more than PASSES times its size, as no block is.  Rows that repeat, or share a key, are rows of
+    their own; those that agree in all are interchangeable.  A very long text spans many blocks.  An empty
+    table gives an empty one.
     """
     return Mix(docs, block, shard_slots, seed).mixed_sizes().select("doc_id", "size", "source_size", "target", "taken")
 
@@ -149,6 +172,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     """The mix as documents, with the columns doc_id, text, lang, source and n_chars: one row for each pass that takes any of a document.
 
     A document that a pass takes whole keeps its text; of others the taken words remain, joined by one space.
+    Null keys, languages and sources stay null; a null, empty or wordless text is never taken.
     """
     mixed = Mix(docs, block, shard_slots, seed)
     taken = mixed.pieces().join(mixed.picks.hint("merge"), ["src", "block"]).groupBy("src", "bucket", "number", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("runs"), F.sum(F.col("stop") - F.col("first")).alias("words"))

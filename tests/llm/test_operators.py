@@ -332,6 +332,70 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of several columns: each is hashed with the hash so far as its seed."""
+    seed = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else x.to_bytes(4 if isinstance(x, Narrow) else 8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return simhash_bk._signed(seed)
+
+
+class Narrow(int):
+    """An int column; Python's own integers stand for long ones."""
+
+
+def swapped(x, n, *keys):
+    """Swap-or-not, step by step."""
+    for k in range(1, mixing.ROUNDS + 1):
+        partner = (spark_hash(*keys, Narrow(k)) % n - x) % n
+        if spark_hash(*keys, Narrow(k), max(x, partner), "swap") & 1:
+            x = partner
+    return x
+
+
+def test_mix_by_hand(docs):
+    """Slots, shards, permuted blocks and the words taken of each row, without Spark."""
+    block, shard_slots = 16, 64
+    mix = mixing.Mix(docs, block, shard_slots)
+    sources = {r.src: r for r in mix.sources.collect()}
+    slots = {s: round(r.slot_to) - round(r.slot_from) for s, r in sources.items()}
+    shards = max(1, -(-sum(slots.values()) // shard_slots))
+    drawn = {s: Counter(spark_hash(Narrow(mixing.SEED), s, j) % shards for j in range(n)) for s, n in slots.items()}
+    assert Counter({(r.src, r.shard): r["count"] for r in mix.counts.collect()}) == Counter({(s, k): n for s, c in drawn.items() for k, n in c.items()})
+    want = Counter()
+    for s, counts in drawn.items():
+        k = 0
+        for shard in sorted(counts):
+            for _ in range(counts[shard]):
+                turn, at = divmod(k, sources[s].blocks)
+                want[(s, shard, swapped(at, sources[s].blocks, Narrow(mixing.SEED), s, turn), turn)] += 1
+                k += 1
+    assert Counter(tuple(r) for r in mix.picks.select("src", "shard", "block", "turn").collect()) == want
+    times, streams = Counter(), {}
+    for (s, _, b, _), n in want.items():
+        times[(s, b)] += n
+    for r in sorted(mix.rows.collect(), key=lambda r: (r.src, r.bucket, r.number)):
+        streams.setdefault(r.src, []).extend([(r.src, r.bucket, r.number)] * r.size)
+    taken = Counter()
+    for s, words in streams.items():
+        for at, row in enumerate(words):
+            taken[row] += times[(s, at // block)]
+    keys = {(r.src, r.bucket, r.number): (r.doc_id, r.size) for r in mix.rows.collect()}
+    assert Counter((r.doc_id, r.size, r.taken) for r in mix.mixed_sizes().collect()) == Counter((*v, taken[k]) for k, v in keys.items())
+
+
+def test_shard_counts_spread_like_multinomial_draws(spark):
+    """Squared deviations of the counts from their expectation, over its variance: 1 a cell, neither 0 (dealt in turn) nor more."""
+    totals = spark.createDataFrame([("sa", 10_000, 40_000), ("sb", 900, 2_500), ("n", 50, 150)], "src string, blocks long, slots long")
+    cells = {(r.src, r.shard): r["count"] for r in mixing.shard_counts(totals, 256).collect()}
+    shards = -(-42_650 // 256)
+    for src, n in (("sa", 40_000), ("sb", 2_500), ("n", 150)):
+        found = [cells.get((src, k), 0) for k in range(shards)]
+        assert sum(found) == n
+        assert 0.7 < sum((x - n / shards) ** 2 for x in found) / (n * (1 - 1 / shards)) < 1.4
+
+
 def test_mixed_documents_have_the_taken_words(docs):
     words = sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(docs, block=16).collect())
     assert words == sum(r.taken for r in mixing.mix(docs, block=16).collect())
