@@ -463,18 +463,98 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 
 def test_extraction(spark):
-    pages = [(k, "http://a.example/x", PAGE % (k, k * 7), "z") for k in range(12)] + [(50, None, None, "z"), (51, "http://b.example", "", "z"), (52, "x", "<p>un<closed &am", "z"), (53, "http://a.example/y", "<article>" + "<p>long</p>" * 5000, "z")]
+    pages = [(k, "http://a.example/x", PAGE % (k, k * 7), "z") for k in range(12)]
+    pages += [(50, None, None, "z"), (51, "http://b.example", "", "z"), (52, "x", "<p>un<closed &am", "z"), (53, "http://a.example/y", "<article>" + "<p>long</p>" * 5000, "z"), (54, None, PAGE % (1, 2), "z"), (55, None, PAGE % (1, 2), "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
     found = {r.page_id: r.text for r in style_tree.extract(df).collect()}
     assert found[3] == "Head & line Boldtext 3 next Second line 21"
     assert (found[50], found[51], found[52], len(found[53].split())) == ("", "", "un", 5000)
+    # two pages of no site: no shared tree, so what has no telling name stays
+    assert found[54] == found[55] == "Same on all pages Head & line Boldtext 1 next Second line 2 Share this everywhere"
     assert all(r.n_chars == len(r.text) for r in style_tree.extract(df).collect())
     assert style_tree.extract(df.limit(0)).count() == 0
+    repeated = style_tree.extract(df.union(df)).collect()
+    assert Counter((r.page_id, r.text) for r in repeated) == Counter({x: 2 for x in found.items()})
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p></article>", "a x=2 b"),
+        ("<article><svg><text>label</text></svg><object><p>shown instead</p></object><noscript><p>plain</p></noscript></article>", "label shown instead plain"),
+        ("<article>t<textarea>typed</textarea><select><option>one</select></article>", "t"),
+        ('<article><div class="advice">kept</div><div class="commentary">kept too</div></article>', "kept kept too"),
+        ('<div data-class="ad" class=lead>lead</div><div class="ad-box">buy</div><p hidden>no</p><p aria-hidden="true">yes</p>', "lead yes"),
+    ],
+)
+def test_rules_and_names(page, text):
+    assert " ".join(style_tree.kept_blocks(page, None)) == text
+
+
+def entropies(pages):
+    """The statistics of each judged node from the definition: the merged tree, probabilities and logarithms."""
+    from math import log
+
+    shown: dict = {}
+    for page in dict.fromkeys(pages):
+        found = style_tree.blocks(page)
+        same = style_tree.identity([t for _, t in found])
+        for block, text in found:
+            node = block
+            while node is not None:
+                if node.tellable:
+                    texts, layouts = shown.setdefault(node.path, {}).setdefault(same, (set(), set()))
+                    texts.add(text)
+                    layouts.add(tuple(node.children))
+                node = node.parent
+    out = {}
+    for path, by_page in shown.items():
+        m = len(by_page)
+        if m == 1:
+            out[path] = (1, 1.0)
+            continue
+        times = Counter(t for texts, _ in by_page.values() for t in texts)
+        words = [(len(t.split()), times[t]) for texts, _ in by_page.values() for t in texts]
+        content = 1 - sum(w * log(d, m) for w, d in words) / sum(w for w, _ in words)
+        layouts = Counter(x for _, xs in by_page.values() for x in xs)
+        n = sum(layouts.values())
+        presentation = min(1.0, -sum(c / n * log(c / n, m) for c in layouts.values()))
+        out[path] = (m, 1 - (1 - max(0.0, content)) * (1 - presentation))
+    return out
 
 
-def test_importance_of_repeated_branches(spark):
-    df = spark.createDataFrame([(k, "http://a.example/x", PAGE % (k, k * 7)) for k in range(12)], "page_id long, url string, html string")
-    found = style_tree.importance(style_tree.node_features(df))
-    by_node = {r.node: r.importance for r in found.collect()}
-    teaser = style_tree._hash(">html>body>div.teaser")
-    assert by_node[teaser] < style_tree.THRESHOLD
+def test_importance_from_the_definition(spark, sf_dir):
+    """Every node of every site, also those of the given pages, against entropies computed one by one."""
+    given = [(r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    made = [("http://a.example/x", PAGE % (k, k * 7)) for k in range(12)] + [("http://b.example/x", "<div class=c>" + "<p>x</p>" * (k % 3) + f"<p>own {k}</p></div>") for k in range(5)]
+    made += [made[0], ("http://c.example", "<p>one page</p>"), (None, "<p>no site</p>"), ("http://d.example", None), ("http://d.example", "")]
+    df = spark.createDataFrame(given + made, "url string, html string")
+    sites: dict = {}
+    for url, page in given + made:
+        if url and "://" in url:
+            sites.setdefault(url.split("/")[2].lower(), []).append(page or "")
+    want = {(site, style_tree._hash(path)): x for site, pages in sites.items() for path, x in entropies(pages).items()}
+    found = {(r.host, r.node): (r.pages, r.statistic) for r in style_tree.importance(style_tree.node_features(df)).collect()}
+    assert found.keys() == want.keys() and len(found) > 20
+    for key, (m, x) in want.items():
+        assert found[key][0] == m and abs(found[key][1] - x) < 1e-9
+
+
+def test_statistics_remove_repeated_branches(spark):
+    """A box without any telling name goes by its statistics; a named one with a text of its own on every page stays by them."""
+    page = '<body><div class="zone">Stock text %d of four</div><div class="content">%s</div><div class="header"><h2>Own %d</h2>%s</div></body>'
+    text = lambda k: "".join(f"<p>own words {k} {j} here</p>" for j in range(1 + k % 9))
+    df = spark.createDataFrame([(k, "http://a.example/x", page % (k % 4, text(k), k, text(k + 1000))) for k in range(200)], "page_id long, url string, html string")
+    for r in style_tree.extract(df).collect():
+        assert "Stock" not in r.text and f"own words {r.page_id} 0 here" in r.text and f"Own {r.page_id}" in r.text
+    counts = {r.path: r.blocks for r in style_tree.removals(df).collect()}
+    assert counts["statistics"] == 200 and "names" not in counts
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    """A third of a site's rows are one page with changing adverts: its text isn't taken for a repeated box."""
+    rows = [(k, "http://a.example/x", f'<div class="zone">advert {k % 5}</div><div class="body"><p>the one page with a text that many copies share</p><p>second part of it</p></div>') for k in range(60)]
+    rows += [(100 + k, "http://a.example/x", f'<div class="zone">advert {k % 5}</div><div class="body"><p>another page number {k} with text</p><p>more {k}</p></div>') for k in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    assert found[7] == "the one page with a text that many copies share second part of it" and found[103] == "another page number 3 with text more 3"
