@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .scratch import stored
 
@@ -186,20 +186,30 @@ def dedup(history: DataFrame, incoming: DataFrame, key: str = "doc_id", text: st
 
 
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that dedup keeps, with the columns they came with; the older half of the keys is the history.
+    """One document of each class of equal texts, that with the largest key, with the columns it came with.
 
-    Of a group without any key one document stays.
+    The older half of the keys is the history.  Of rows that repeat the winning key one stays, and one of a
+    class that has no key at all: the first by a hash of the other columns.  Null and empty texts are one class,
+    very long ones are hashed whole, and an empty table gives an empty one.
     """
     history, incoming = older_half(docs, key)
     found = merged_classes(stored(digests(history, key, text), "digests-old"), stored(digests(incoming, key, text), "digests-new"), key)
     others = tuple(c for c in docs.columns if c != key)
-    winners = found.select("digest", "keep_id")
-    kept = digests(docs, key, text, others).join(winners, "digest").where(F.col(key) == F.col("keep_id"))
-    keyless = digests(docs.where(F.col(key).isNull()), key, text, others).join(winners.where("keep_id is null"), "digest").dropDuplicates(["digest"])
-    kept = kept.unionByName(keyless)
+    winners = found.select("digest", F.col("keep_id").alias(key))
+    # copies of a hot text differ in their keys; rows that repeat both, or have no key, are thinned before they meet
+    keyed = first_rows(digests(docs.where(F.col(key).isNotNull()), key, text, others), "digest", key).join(winners, ["digest", key])
+    keyless = first_rows(digests(docs.where(F.col(key).isNull()), key, text, others), "digest").join(winners.where(F.col(key).isNull()).select("digest"), "digest")
+    kept = keyed.unionByName(keyless)
     return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
 
 
+def first_rows(rows: DataFrame, *group: str) -> DataFrame:
+    """The first row of each group by a hash of its carried columns; each task keeps one row a group before the exchange."""
+    carried = [c for c in rows.columns if c.startswith("_c_")]
+    order = Window.partitionBy(*group).orderBy(F.xxhash64(*carried) if carried else F.lit(0))
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
 def older_half(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A table as history (keys up to the middle of their range, or none) and what came after."""
     low, high = docs.agg(F.min(key), F.max(key)).first()

@@ -21,6 +21,8 @@ from .labelled import remainder, training_rows
 
 #: Word buckets, factors, most labelled rows to learn from, passes over them.
 WORD_BUCKETS, FACTORS, TRAINING_ROWS, EPOCHS = 1 << 15, 8, 6000, 12
+#: Most bytes of their texts, whatever their number: what the driver holds is a few times as much.
+TRAINING_BYTES = 32 << 20
 #: Labels of rows with this remainder are held out.
 MODULUS, HELD_OUT = 3, 1
 #: Bins of each statistic, and how many there are.
@@ -118,13 +120,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mac
             found = [features(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), batch.column(1)], ["i", "v", "label"])
 
-    rows = training_rows(docs, labels, "quality", MODULUS, HELD_OUT, bound).mapInArrow(run, "i binary, v binary, label int").collect()
+    rows = training_rows(docs, labels, "quality", MODULUS, HELD_OUT, bound, TRAINING_BYTES).mapInArrow(run, "i binary, v binary, label int").collect()
     rows.sort(key=lambda r: (bytes(r.i), bytes(r.v), r.label))  # the same model however the rows arrive
     return fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in rows], np.array([r.label for r in rows], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, score, predicted) of every document; null and empty texts are scored by their statistics."""
+    """(doc_id, held_out, score, predicted) of every document.
+
+    Null and empty texts are scored by their statistics; very long ones are read whole.  A null key is not held
+    out.  Repeated rows give repeated rows, an empty table an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size, whatever the corpus
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 

@@ -134,13 +134,22 @@ def ablation(entries: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame
     )
 
 
+def judged(entries: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
+    """A ledger with base_failed and, under a policy, kept: bits are compared, no text is read."""
+    return entries.withColumns({"base_failed": ~passes(("base", 1)), "kept": passes(("base", 1)) & passes(policy)})
+
+
 def rejected(documents: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
     """(doc_id, base_failed, kept) and the measurements of every document under a policy."""
-    return ledger(documents).withColumns({"base_failed": ~passes(("base", 1)), "kept": passes(("base", 1)) & passes(policy)})
+    return judged(ledger(documents), policy)
 
 
 def passing(docs: DataFrame, policy: tuple[str, int] = CURRENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that a policy keeps, with the columns they came with."""
+    """The documents that a policy keeps, with the columns they came with.
+
+    Null and empty texts have too few words and go; a null key decides nothing; repeated rows all stay or all go;
+    very long texts are measured whole; an empty table gives an empty one.
+    """
     others = tuple(c for c in docs.columns if c != key)
     kept = ledger(docs, key, text, others).where(passes(("base", 1)) & passes(policy))
     return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))
@@ -162,3 +171,9 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
         + 32 * (word_chars > 15 * n_words)::BIGINT + 64 * (word_chars < 2 * n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+#: The ablation of the current policy, whose mask has every rule.
+ABLATION_SQL = f"""
+WITH f AS ({SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(RULES))}) AS v(rule, b))
+SELECT rule, count(*) FILTER (fail_bits & b <> 0) AS failed, count(*) FILTER (fail_bits = b) AS rejected_alone, count(*) FILTER (fail_bits = b OR fail_bits = 0) AS kept_without FROM f, r GROUP BY rule
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, exact_dedup, fm_quality, mixing, quality_rules, simhash_bk, style_tree, substring_dedup, token_store, toxicity
-from .scratch import fresh_path, prepare
+from .scratch import fresh_path, prepare, stored
 
 #: Where the public vocabulary lies; a parameter of the operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -35,10 +35,15 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.rejected(documents(spark, sf_dir))
+    found = quality_rules.judged(stored(quality_rules.ledger(documents(spark, sf_dir)), "quality-ledger"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy costs, from a stored ledger."""
+    return quality_rules.ablation(stored(quality_rules.ledger(documents(spark, sf_dir)), "quality-ledger"))
+
+
 def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return fm_quality.score(docs, fm_quality.train(docs, labels))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_store": op2_token_store,
     "op3_quality_rules": op3_quality_rules,
+    "quality_ablation": quality_ablation,
     "op4_fm_quality": op4_fm_quality,
     "op5_source_mix": op5_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
 }

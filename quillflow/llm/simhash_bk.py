@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import connected_components
+from .exact_dedup import first_rows
 from .scratch import stored
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -194,12 +195,13 @@ def links(classes: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
 
 
 def fingerprint_components(found: DataFrame, key: str = "doc_id", limit: int = SHARD_LIMIT) -> DataFrame:
-    """(fp, component_id, label) of every distinct fingerprint of (key, fp)."""
+    """(fp, component_id, label, chosen) of every distinct fingerprint of (key, fp); chosen is one fingerprint of the component, which the smallest key has."""
     classes = stored(found.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     labels = connected_components(links(classes, limit)).withColumnRenamed("node", "fp")
     labelled = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return stored(labelled.join(firsts, "label").select("fp", "component_id", "label"), "components")
+    smallest = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp")))
+    firsts = labelled.groupBy("label").agg(smallest.alias("_s"), F.min("fp").alias("_f")).select("label", F.col("_s.first").alias("component_id"), F.coalesce("_s.fp", "_f").alias("chosen"))
+    return stored(labelled.join(firsts, "label").select("fp", "component_id", "label", "chosen"), "components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
@@ -214,10 +216,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
-    """One document of each component, that with the smallest key or else any, with the columns it came with."""
+    """One document of each component, that with the smallest key, with the columns it came with.
+
+    Of rows that repeat that key one stays, and one of a component that has no key at all: the first by a hash of
+    the other columns.  Null, empty and wordless texts are one component, very long ones are read whole, and
+    an empty table gives an empty one.
+    """
     components = fingerprint_components(stored(fingerprints(docs, key, text), "fingerprints"), key, limit)
+    winners = components.where("fp = chosen").select("fp", F.col("component_id").alias(key))
     others = tuple(c for c in docs.columns if c != key)
-    kept = fingerprints(docs, key, text, others).join(components, "fp").where(F.col(key) == F.col("component_id"))
-    keyless = fingerprints(docs.where(F.col(key).isNull()), key, text, others).join(components.where("component_id is null"), "fp").dropDuplicates(["label"])
-    kept = kept.unionByName(keyless)
+    # documents of a hot fingerprint differ in their keys; rows that repeat both, or have no key, are thinned before they meet
+    keyed = first_rows(fingerprints(docs.where(F.col(key).isNotNull()), key, text, others), "fp", key).join(winners, ["fp", key])
+    keyless = first_rows(fingerprints(docs.where(F.col(key).isNull()), key, text, others), "fp").join(winners.where(F.col(key).isNull()).select("fp"), "fp")
+    kept = keyed.unionByName(keyless)
     return kept.select(*(F.col(c) if c == key else F.col(f"_c_{c}").alias(c) for c in docs.columns))

@@ -168,8 +168,12 @@ HAS, TEXT, LAYOUT = 0, 1, 2
 FEATURES = "host string, node long, kind int, feature long, page long, words long, named boolean"
 
 
-def identity(texts: list[str]) -> str:
-    """The longest blocks of a page, as many as hold SAME_SHARE of its words: what copies with other adverts agree in."""
+def identity(found: list[tuple[Node, str]]) -> str:
+    """The longest blocks of a page's content, as many as hold SAME_SHARE of its words: what copies with other adverts agree in.
+
+    Content is what lies in an article, else what no name tells apart, else everything.
+    """
+    texts = [t for n, t in found if n.in_content] or [t for n, t in found if not any(x.named for x in tellable_paths(n))] or [t for _, t in found]
     ordered = sorted(((len(t.split()), t) for t in texts), reverse=True)
     left, chosen = SAME_SHARE * sum(n for n, _ in ordered), []
     for n, t in ordered:
@@ -183,7 +187,7 @@ def identity(texts: list[str]) -> str:
 def page_features(page: str) -> list[tuple]:
     """(node, kind, feature, page, words, named) of the nodes that statistics may judge, each once."""
     found = blocks(page)
-    same, seen = _hash(identity([t for _, t in found])), set()
+    same, seen = _hash(identity(found)), set()
     for node, text in found:
         feature, words = _hash(text), len(text.split())
         for n in tellable_paths(node):

@@ -27,8 +27,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from . import bpe
 
-#: Bounds of what the dictionary is trained on: documents, and bytes of each.
-TRAINING_DOCUMENTS, TRAINING_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 << 10
+#: Bounds of what the dictionary is trained on, documents and characters of each, and its size.
+TRAINING_DOCUMENTS, TRAINING_CHARS, DICTIONARY_BYTES = 2000, 8192, 64 << 10
 LEVEL = 3
 SHARD_ROWS = "key long, file string, part int, offset long, length int, local_start long, n_tokens int"
 
@@ -61,21 +61,25 @@ def id_width(tokenizer_path: str) -> int:
     return 2 if library_codec(tokenizer_path).size <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> bytes:
-    """A dictionary from a bounded sample of documents; empty where the sample is too small to train on."""
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> bytes:
+    """A dictionary from a bounded sample; empty where the sample is too small to train on.
+
+    The sample is a piece of each of some documents, both chosen by a hash over all rows: it is the same in
+    every run, no row comes too late for it, and a long document's piece may lie anywhere in it.
+    """
     import zstandard
 
     width = id_width(tokenizer_path)
-    rows = docs.count()
-    share = min(1.0, 2 * TRAINING_DOCUMENTS / max(rows, 1))
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(False, share, 1).limit(TRAINING_DOCUMENTS)
+    h, length = F.xxhash64(key, text), F.length(text)
+    at = F.pmod(h, F.greatest(F.lit(1), length - TRAINING_CHARS + 1)).cast("int") + 1
+    pieces = docs.where(length > 0).select(h.alias("h"), F.substring(F.col(text), at, F.lit(TRAINING_CHARS)).alias("t")).orderBy("h", "t").limit(TRAINING_DOCUMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = library_codec(tokenizer_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialized(codec, x, end_id, width)[0][:TRAINING_BYTES] for x in batch.column(0).to_pylist()], pa.binary())], ["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([serialized(codec, x, end_id, width)[0] for x in batch.column(0).to_pylist()], pa.binary())], ["s"])
 
-    samples = [bytes(r.s) for r in sample.mapInArrow(run, "s binary").collect()]
+    samples = sorted(bytes(r.s) for r in pieces.select("t").mapInArrow(run, "s binary").collect())
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
@@ -92,11 +96,12 @@ def file_system(uri: str):
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes whole texts, appends end_id to each, writes a store at path and returns its index.
 
-    Order is ascending by key, null keys first; rows with equal keys follow each other by text.  A null text
-    is empty and has end_id alone.  An empty table gives a store without shards.
+    Order is ascending by key, null keys first; rows with equal keys follow each other by a hash of their texts,
+    so a key that many rows share, or the lack of one, fills no single range.  A null text is empty and has end_id
+    alone.  A very long text is one frame.  An empty table gives a store without shards.
     """
     spark = docs.sparkSession
-    shared = train_dictionary(docs, tokenizer_path, end_id, text)
+    shared = train_dictionary(docs, tokenizer_path, end_id, key, text)
     digest, width = hashlib.sha256(shared).hexdigest(), id_width(tokenizer_path)
     spark.createDataFrame([(digest, bytearray(shared), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
     store, folder = file_system(f"{path}/shards")
@@ -124,7 +129,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
             if out:
                 out.close()
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("key").sortWithinPartitions("key", "t")
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ordered = ordered.withColumn("h", F.xxhash64("t")).repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "t")
     ordered.mapInArrow(run, SHARD_ROWS).write.parquet(f"{path}/frames")
     frames = spark.read.parquet(f"{path}/frames")
     # one row per shard: where its first document starts

@@ -19,6 +19,8 @@ from .labelled import remainder, training_rows
 
 #: Buckets of words and of their beginnings, most labelled rows to learn from, gradient steps over them.
 BUCKETS, TRAINING_ROWS, STEPS = 1 << 17, 6000, 2400
+#: Most bytes of their texts, whatever their number: what the driver holds is a few times as much.
+TRAINING_BYTES = 32 << 20
 #: Labels of rows with this remainder are held out.
 MODULUS, HELD_OUT = 5, 0
 #: Beginnings of words that count as features; a feature needs so many toxic training documents, and so many standard deviations more than chance.
@@ -81,6 +83,17 @@ def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np
     return (counts[1] >= LEAST_DOCUMENTS) & (excess >= DEVIATIONS)
 
 
+def document_slopes(logits: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The derivative of the negative log-likelihood of documents' labels by each sentence's logit.
+
+    Sentences follow each other by document, counts[k] >= 1 of them in document k.  A clean document wants every
+    sentence clean; a toxic one, 1 - prod(1 - p) likely, which pulls least on sentences that others explain.
+    """
+    clean = np.exp(-np.add.reduceat(np.logaddexp(0, logits), np.cumsum(counts) - counts))  # 1 - P of each document
+    pull = np.where(labels > 0, -clean / np.maximum(1 - clean, 1e-3), 1.0)
+    return np.repeat(pull, counts) / (1 + np.exp(-logits))
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11, rate: float = 0.5, decay: float = 2e-4, batch: int = 64) -> Model:
     """Likelihood of the documents' labels under the noisy-or, by plain gradient steps.
 
@@ -101,9 +114,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             starts = np.concatenate([bags[k][1] + s for k, s in zip(some, shift)])
             counts = np.array([len(bags[k][1]) for k in some])
             z = np.clip(BIAS + np.add.reduceat(weights[rows].sum(axis=1), starts), -30, 30)
-            clean = np.exp(-np.add.reduceat(np.logaddexp(0, z), np.cumsum(counts) - counts))  # 1 - P of each document
-            pull = np.where(labels[some] > 0, -clean / np.maximum(1 - clean, 1e-3), 1.0)
-            per_word = np.repeat(np.repeat(pull, counts) / (1 + np.exp(-z)), np.diff(np.r_[starts, len(rows)]))
+            per_word = np.repeat(document_slopes(z, counts, labels[some]), np.diff(np.r_[starts, len(rows)]))
             inside = known[rows]
             used, back = np.unique(rows[inside], return_inverse=True)
             if len(used):
@@ -120,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
             found = [bag(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes() for r, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(1)], ["r", "s", "label"])
 
-    rows = training_rows(docs, labels, "toxic", MODULUS, HELD_OUT, bound).mapInArrow(run, "r binary, s binary, label int").collect()
+    rows = training_rows(docs, labels, "toxic", MODULUS, HELD_OUT, bound, TRAINING_BYTES).mapInArrow(run, "r binary, s binary, label int").collect()
     rows.sort(key=lambda x: (bytes(x.r), bytes(x.s), x.label))  # the same model however the rows arrive
     bags = [(np.frombuffer(x.r, "<i4").reshape(-1, _COLUMNS - 1), np.frombuffer(x.s, np.int64)) for x in rows]
     return fit(bags, np.array([x.label for x in rows], np.float64))
@@ -130,7 +141,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(doc_id, held_out, score, predicted, offending) of every document.
 
     offending lists the sentences of probability 0.5 and more as (start, stop, probability), in words.  Null and
-    empty texts have no sentence and score 0.
+    empty texts have no sentence and score 0; very long ones are read whole, every sentence counts.  A null key
+    is not held out.  Repeated rows give repeated rows, an empty table an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, whatever the corpus
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))

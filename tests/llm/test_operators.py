@@ -169,6 +169,32 @@ def test_perfect_hash_members_are_byte_checked(spark):
     assert found == {1: (3, False, False), 2: (2, True, False), 3: (3, True, True), 4: (5, False, False), 5: (5, True, False)}
 
 
+@pytest.mark.parametrize("keep", ["exact", "near"])
+def test_one_document_of_each_class_stays(docs, none, keep):
+    """Also of rows that repeat, of classes without any key and of a key with several texts; the columns stay as they were."""
+    spark = docs.sparkSession
+    more = docs.union(spark.createDataFrame([(None, "only without key", "a", "b", 1, "", "", 1, ""), (None, "ONLY without key", "a", "c", 1, "", "", 1, ""), (6 * 3, None, "x", None, 2, "", "", 1, ""), (0, "", "y", None, 2, "", "", 1, "")], SCHEMA))
+    kept = (exact_dedup.kept_documents if keep == "exact" else simhash_bk.representatives)(more)
+    assert kept.columns == more.columns
+    rows, given = kept.collect(), more.collect()
+    assert set(map(tuple, rows)) <= set(map(tuple, given))
+    if keep == "exact":
+        group = {(r.text or "").translate(LOWER): (r.text or "").translate(LOWER) for r in given}
+    else:
+        prints = {(r.text or "").translate(LOWER): simhash(r.text) for r in given}
+        fps = sorted(set(prints.values()))
+        of = components(fps, [(a, b) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= 3])
+        group = {t: of[f] for t, f in prints.items()}
+    groups: dict = {}
+    for r in given:
+        groups.setdefault(group[(r.text or "").translate(LOWER)], set()).add(r.doc_id)
+    assert sorted(group[(r.text or "").translate(LOWER)] for r in rows) == sorted(groups)
+    for r in rows:
+        keys = groups[group[(r.text or "").translate(LOWER)]] - {None}
+        assert r.doc_id == ((max if keep == "exact" else min)(keys) if keys else None)
+    assert (exact_dedup.kept_documents if keep == "exact" else simhash_bk.representatives)(none).count() == 0
+
+
 def simhash(text):
     words = WORD.findall((text or "").translate(LOWER))
     grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
@@ -427,6 +453,68 @@ def planted(spark, label, n=400):
     return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], f"doc_id long, {label} int")
 
 
+def test_noisy_or_is_the_product():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 7, 300):
+        logits = rnd.normal(-3, 2, n)
+        product = 1.0
+        for z in logits:
+            product *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(toxicity.noisy_or(logits) - (1 - product)) < 1e-12
+
+
+def test_slopes_of_the_documents_likelihood():
+    """Against differences of the likelihood, written as the product it is."""
+
+    def loss(logits, counts, labels):
+        out, at = 0.0, 0
+        for n, label in zip(counts, labels):
+            clean = np.prod([1 - 1 / (1 + np.exp(-z)) for z in logits[at : at + n]])
+            out -= np.log(1 - clean) if label else np.log(clean)
+            at += n
+        return out
+
+    rnd = np.random.default_rng(6)
+    counts, labels = np.array([1, 4, 2, 9]), np.array([1, 0, 0, 1])
+    logits = rnd.normal(-1, 1, counts.sum())
+    found = toxicity.document_slopes(logits, counts, labels)
+    for k in range(len(logits)):
+        step = np.zeros(len(logits))
+        step[k] = 1e-5
+        assert abs((loss(logits + step, counts, labels) - loss(logits - step, counts, labels)) / 2e-5 - found[k]) < 1e-6
+
+
+def test_slopes_of_the_factorisation_machine():
+    """One step of fit from known parameters moves against the differences of the logistic loss."""
+    rnd = np.random.default_rng(2)
+    machine = fm_quality.Machine(0.1, np.zeros(fm_quality.SIZE), np.zeros((fm_quality.SIZE, fm_quality.FACTORS)))
+    index, values = np.array([3, 8, 21]), np.array([0.7, -1.2, 2.0])
+    machine.linear[index], machine.factors[index] = rnd.normal(size=3), rnd.normal(size=(3, fm_quality.FACTORS))
+    error = 1 / (1 + np.exp(-machine.logit(index, values))) - 1
+    total = (machine.factors[index] * values[:, None]).sum(axis=0)
+    for k in range(3):
+        for f in range(fm_quality.FACTORS):
+            want = error * values[k] * (total[f] - machine.factors[index[k], f] * values[k])
+            losses = []
+            for d in (1e-5, -1e-5):
+                machine.factors[index[k], f] += d
+                losses.append(np.log1p(np.exp(-machine.logit(index, values))))
+                machine.factors[index[k], f] -= d
+            assert abs((losses[0] - losses[1]) / 2e-5 - want) < 1e-6
+
+
+def test_training_rows_are_bounded_in_rows_and_bytes(spark):
+    """A key with many rows and a long text don't make the sample larger."""
+    from quillflow.llm.labelled import training_rows
+
+    rows = [(k, "word " * 20) for k in range(60)] + [(7, "word " * 20)] * 500 + [(61, "word " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(62)], "doc_id long, quality int")
+    found = training_rows(docs, labels, "quality", 3, 1, 50, 2000).collect()
+    allowed = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert 0 < len(found) <= min(len(allowed), 20) and all(len(r.text) == 100 for r in found)
+
+
 @pytest.mark.parametrize(("module", "label"), [(fm_quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_held_out_rows(spark, docs, none, module, label):
     texts, labels = planted(spark, label)
@@ -498,7 +586,7 @@ def entropies(pages):
     shown: dict = {}
     for page in dict.fromkeys(pages):
         found = style_tree.blocks(page)
-        same = style_tree.identity([t for _, t in found])
+        same = style_tree.identity(found)
         for block, text in found:
             node = block
             while node is not None:

@@ -46,6 +46,68 @@ def test_pipeline(spark, sf_dir):
     found.unpersist()
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp long, block string, size string"
+
+
+def odd_rows():
+    """Nulls in every column, empty and very long texts, ties, repeated rows and columns named like the operators' own."""
+    good = " ".join(f"plain{k % 70}x{k}" for k in range(90))
+    long = " ".join(f"w{k}q{k % 977}" for k in range(60_000))
+    texts = [None, "", " \n\t", "short", good, good, good.upper(), good + " tail", long, " ".join(f"other{k}y" for k in range(80))]
+    rows = [(k, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 3}", None, "d", 5, "b", "z") for k, t in enumerate(texts)]
+    return [*rows, rows[4], rows[9], (None, good, None, None, None, None, None, None, None), (None, texts[9] + " without key here", None, None, 3, None, None, None, None), (None, None, None, None, None, None, None, None, None), (4, good, "de", "s9", 1, "", 1, "", "")]
+
+
+def test_each_stage_on_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), EXTRA)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "bpe" or docs.columns == list(corpus_pipeline.COLUMNS)
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    assert kept["quality_rules"] == sorted([(False, 4), (False, 4), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (False, 9), (True, 0), (True, 0)])
+    # of equal texts the largest key, and one row of it; the text without key is a class of its own
+    assert kept["exact_dedup"] == [(False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
+    near = {r.doc_id: simhash(r.text) for r in spark.read.parquet(f"{tmp_path}/exact_dedup").collect()}
+    keys = sorted(k for k in near if k is not None)
+    groups = components([*keys, 10**9], [(a, b) for a in [*keys, 10**9] for b in keys if b < a and (near[a if a < 10**9 else None] ^ near[b]).bit_count() <= 3])
+    assert [k for none, k in kept["simhash_near_dedup"] if not none] == [k for k in keys if groups[k] == k]
+    assert {k for none, k in kept["bpe"]} <= {k for _, k in kept["simhash_near_dedup"]}
+
+
+def test_each_stage_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], EXTRA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stored_tables_are_deleted(spark, tmp_path):
+    import glob
+
+    from quillflow.llm import scratch
+
+    def make():
+        return scratch.stored(spark.range(5).toDF("a"), "passed-on").where("a > 2")
+
+    found = scratch.only_result(spark, make, "result")
+    assert found.count() == 2 and not glob.glob(f"{scratch.shared_dir(spark)}/quillflow/passed-on-*")
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quillflow.llm import scratch
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session)
+
+
 def test_policy_is_versioned():
     assert quality_rules.mask(("base", 1)) == 3
     assert quality_rules.mask(("web", 1)) & quality_rules.mask(("web", 2)) == quality_rules.mask(("web", 1))
