@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillflow.llm import bpe, exact_dedup, mixing, quality_rules, queries, simhash_bk
-from quillflow.llm.scratch import prepare, stored
+from quillflow.llm.scratch import only_result, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written to the shared folder and read again."""
+    """All stages in order; each result is written to the shared folder and read again, and what led to it is deleted.
+
+    Nulls in any column, empty texts, repeated rows and extra columns are allowed, and an empty table goes through
+    all stages; each stage's operator says what it makes of them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = only_result(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
