@@ -1,10 +1,12 @@
-"""Python workers: where they import this package from."""
+"""What workers share: where they import this package from, and the folder that all of them see."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(df: DataFrame) -> DataFrame:
@@ -15,3 +17,27 @@ def importable(df: DataFrame) -> DataFrame:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
     return df
+
+
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder of spark.checkpoint.dir; in local mode, where the session names none, below a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/quillflow/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and written to the checkpoint folder, so that what reads it several times starts from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

@@ -150,15 +150,14 @@ def _sender_windows(df: DataFrame) -> DataFrame:
 
 def _spread(df: DataFrame) -> DataFrame:
     """Distinct receivers, and their banks, that were paid the same amount before; a receiver is its account."""
-    receivers = W.with_prev_distinct(df, "same_amount_receivers_prev", SAME, "cp_account", ORDER)
-    return W.with_prev_distinct(receivers, "same_amount_receiver_banks_prev", SAME, "cp_bank", ORDER)
+    return W.with_prev_distincts(df, {"same_amount_receivers_prev": "cp_account", "same_amount_receiver_banks_prev": "cp_bank"}, SAME, ORDER)
 
 
 def sender_candidates(payers: DataFrame) -> DataFrame:
     """Windows over payer rows alone: apply after payer_rows."""
-    out = _spread(_sender_windows(payers))
+    out = W.with_trailing_distinct(_spread(_sender_windows(payers)), "receiver_bank_count_24h", "cp_bank", "ts_s", DAY, OWN, ORDER)
     mean = F.coalesce(F.try_divide(F.col("_sum_24h"), F.col("sender_tx_24h")), F.lit(0.0))
-    return out.withColumns({"sender_amount_mean_24h_log": F.log1p(mean), "receiver_bank_count_24h": W.trailing_distinct("cp_bank", "ts_s", DAY, OWN, ("transaction_id",))}).drop("_sum_24h")
+    return out.withColumn("sender_amount_mean_24h_log", F.log1p(mean)).drop("_sum_24h")
 
 
 DECAY = ("own_decay_count_12h",)
@@ -179,14 +178,14 @@ def behaviour_shift(payers: DataFrame) -> DataFrame:
     """Recent payer behaviour against the account's past; own_account_prev_count still counts both roles."""
     days = F.greatest((F.col("ts_s") - F.first("ts_s").over(W.over(OWN, ORDER))) / 86400.0, F.lit(1.0))
     past_mean = F.coalesce(F.try_divide(W.prev_sum(F.col("amount_paid"), OWN, ORDER), F.col("own_account_prev_count")), F.lit(0.0))
-    out = _spread(_sender_windows(payers))
+    out = W.with_trailing_distinct(_spread(_sender_windows(payers)), "_receivers_24h", "cp_account", "ts_s", DAY, OWN, ORDER)
     return out.withColumns({
         "sender_tx_24h_vs_prev_mean": F.col("sender_tx_24h") / (F.col("own_account_prev_count") / days + 1.0),
         "sender_amount_24h_vs_prev_mean": F.col("_sum_24h") / (past_mean + 1.0),
         "same_amount_24h_cnt": W.trailing_count("ts_s", DAY, SAME, ORDER) - 1,
         "sender_format_ratio_prev": W.prev_count((*OWN, "payment_format"), ORDER) / (F.col("own_account_prev_count") + 1.0),
-        "counterparty_unique_24h_ratio": W.trailing_distinct("cp_account", "ts_s", DAY, OWN, ("transaction_id",)) / (F.col("sender_tx_24h") + 1.0),
-    }).drop("_sum_24h")
+        "counterparty_unique_24h_ratio": F.col("_receivers_24h") / (F.col("sender_tx_24h") + 1.0),
+    }).drop("_sum_24h", "_receivers_24h")
 
 
 TIME, INTERNAL = ("hour", "dayofweek"), ("self_account", "is_sender", "internal_transfer")

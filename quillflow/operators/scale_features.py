@@ -55,13 +55,20 @@ def truncated(x: str | Column) -> Column:
 
 
 def group_stats(df: DataFrame, prefix: str, keys: Sequence[str], order: Sequence = ORDER, extra: str = "amount_paid", seconds: int = DAY) -> DataFrame:
-    """prefix_prev, prefix_since, prefix_count and prefix_sum of a key: rows before, seconds since, and what the window holds."""
-    return df.withColumns({
+    """prefix_prev, prefix_since, prefix_count and prefix_sum of a key: rows before, seconds since, and what the window holds.
+
+    Running values come first and what is too old second: the second window finds the first one's sort.
+    """
+    running = df.withColumns({
         f"{prefix}_prev": W.prev_count(keys, order),
         f"{prefix}_since": W.since_prev("ts_s", keys, order),
-        f"{prefix}_count": W.trailing_count("ts_s", seconds, keys, order, inclusive=True),
-        f"{prefix}_sum": W.trailing_sum(truncated(extra), "ts_s", seconds, keys, order, inclusive=True),
+        "_run": F.sum(truncated(extra)).over(W.over(keys, order).rowsBetween(W.PRECEDING, W.CURRENT)),
     })
+    old = W.too_old(keys, "ts_s", seconds, True)
+    return running.withColumns({
+        f"{prefix}_count": F.col(f"{prefix}_prev") + 1 - F.count(F.lit(1)).over(old),
+        f"{prefix}_sum": F.col("_run") - F.coalesce(F.sum(truncated(extra)).over(old), F.lit(0)),
+    }).drop("_run")
 
 
 def own_history(tx: DataFrame, mode: str) -> DataFrame:
@@ -76,16 +83,24 @@ def own_history(tx: DataFrame, mode: str) -> DataFrame:
     return payer_rows(seen).withColumnsRenamed(names).drop("role", "role_ord")
 
 
-def bank_history(tx: DataFrame) -> DataFrame:
+def with_arrivals(df: DataFrame) -> DataFrame:
+    """_new: 1 for a sender's first payment to a bank, else 0."""
+    return df.withColumn("_new", (F.row_number().over(W.over((*SRC, *BANK), ORDER)) == 1).cast("long"))
+
+
+def bank_history(df: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """bank_prev, bank_since, bank_count, bank_sum and bank_senders of the receiving bank.
 
     Banks are few and large, so rows are summed to (bank, second) first: only seconds meet in a bank's window,
-    and ties are ranked within their second.
+    and ties are ranked within their second.  The sums start from tx, the plain payments that df's rows come
+    from, so that no feature of df is computed for them.
     """
-    first = (F.row_number().over(W.over((*BANK, *SRC), ORDER)) == 1).cast("long")
+    tx = df if tx is None else tx
+    rows = df if "_new" in df.columns else with_arrivals(df)
     tied = W.over((*BANK, "ts_s"), ("transaction_id",)).rowsBetween(W.PRECEDING, W.CURRENT)
-    rows = tx.withColumn("_new", first).withColumns({"_k": F.row_number().over(W.over((*BANK, "ts_s"), ("transaction_id",))), "_a": F.sum(truncated("amount_paid")).over(tied), "_s": F.sum("_new").over(tied)})
-    seconds = tx.withColumn("_new", first).groupBy(*BANK, "ts_s").agg(F.count(F.lit(1)).alias("n"), F.sum(truncated("amount_paid")).alias("a"), F.sum("_new").alias("s"))
+    rows = rows.withColumns({"_k": F.row_number().over(W.over((*BANK, "ts_s"), ("transaction_id",))), "_a": F.sum(truncated("amount_paid")).over(tied), "_s": F.sum("_new").over(tied)})
+    plain = with_arrivals(tx.select(*BANK, *SRC, *ORDER, "amount_paid"))
+    seconds = plain.groupBy(*BANK, "ts_s").agg(F.count(F.lit(1)).alias("n"), F.sum(truncated("amount_paid")).alias("a"), F.sum("_new").alias("s"))
     before = W.over(BANK, ("ts_s",)).rowsBetween(W.PRECEDING, -1)
     recent = W.over(BANK, ("ts_s",)).rangeBetween(-DAY, -1)
     zero = F.lit(0)
@@ -113,24 +128,26 @@ def scale_features(tx: DataFrame, feature_set: str, mode: str = "bank_local", fo
     if feature_set not in SETS:
         raise ValueError(f"unknown feature set {feature_set}; known: {', '.join(SETS)}")
     wanted = SETS[feature_set]
-    df = own_history(tx, mode)
-    if any(x.startswith("receiver_bank") for x in wanted):
-        df = bank_history(df)
-    df = group_stats(group_stats(df, "pair", PAIR), "recv", DST)
-    for name, keys, value in (
-        ("same_amount_receivers_prev", AMOUNT, DST), ("same_amount_receiver_banks_prev", AMOUNT, "to_bank"), ("same_amount_senders_prev", AMOUNT, SRC), ("same_amount_sender_banks_prev", AMOUNT, "from_bank"),
-        ("receiver_unique_senders_prev", DST, SRC), ("receiver_unique_sender_banks_prev", DST, "from_bank"),
-    ):
-        if name in wanted:
-            df = W.with_prev_distinct(df, name, keys, value, ORDER)
+    chosen_of = lambda *names: {n: v for n, v in names if n in wanted}
+    # all that a payer's rows tell first, then all that a receiver's do: keys that begin alike need one exchange
+    df = group_stats(own_history(tx, mode), "pair", PAIR).withColumn("is_new_cp", (F.col("pair_prev") == 0).cast("int"))
+    df = df.withColumns({"_paid_before": W.prev_sum(F.col("amount_paid"), SRC, ORDER), "_sent_before": W.prev_count(SRC, ORDER), "_new_run": F.sum("is_new_cp").over(W.over(SRC, ORDER).rowsBetween(W.PRECEDING, W.CURRENT))})
+    df = df.withColumn("new_cp_24h", F.col("_new_run") - F.coalesce(F.sum("is_new_cp").over(W.too_old(SRC, "ts_s", DAY, True)), F.lit(0)))
+    df = W.with_prev_distincts(df, chosen_of(("same_amount_receivers_prev", DST), ("same_amount_receiver_banks_prev", "to_bank")), AMOUNT, ORDER)
+    df = W.with_prev_distincts(df, chosen_of(("same_amount_senders_prev", SRC), ("same_amount_sender_banks_prev", "from_bank")), AMOUNT, ORDER)
+    df = df.withColumn("same_amount_cnt", W.prev_count(AMOUNT, ORDER))
+    banks = any(x.startswith("receiver_bank") for x in wanted)
+    df = group_stats(with_arrivals(df) if banks else df, "recv", DST)
     if "receiver_decay_count_12h" in wanted:
         df = W.with_decayed_count(df, "receiver_decay_count_12h", "ts_s", HALF_LIFE, DST, ORDER)
+    df = W.with_prev_distincts(df, chosen_of(("receiver_unique_senders_prev", SRC), ("receiver_unique_sender_banks_prev", "from_bank")), DST, ORDER)
+    if banks:
+        df = bank_history(df, tx)
     for prefix, name in (("own", "own"), ("pair", "counterparty"), ("recv", "receiver"), ("bank", "receiver_bank")):
         if f"{name}_amount_24h_sum" in wanted:
             df = _flow(df, prefix, name)
     internal = F.col("from_bank") == F.col("to_bank")
-    paid_before = W.prev_sum(F.col("amount_paid"), SRC, ORDER)
-    df = df.withColumn("is_new_cp", (F.col("pair_prev") == 0).cast("int")).withColumns({
+    df = df.withColumns({
         "log_amount_paid": F.log1p("amount_paid"),
         "log_amount_received": F.log1p("amount_received"),
         "same_currency": (F.col("payment_currency") == F.col("receiving_currency")).cast("int"),
@@ -138,7 +155,6 @@ def scale_features(tx: DataFrame, feature_set: str, mode: str = "bank_local", fo
         "time_since_last_tx_own": F.col("own_since"),
         "counterparty_prev_count": F.col("pair_prev"),
         "time_since_last_tx_counterparty": F.col("pair_since"),
-        "same_amount_cnt": W.prev_count(AMOUNT, ORDER),
         "receiver_account_prev_count": F.col("recv_prev"),
         "time_since_last_tx_receiver": F.col("recv_since"),
         "hour": S.hour_of("ts_s"),
@@ -146,8 +162,7 @@ def scale_features(tx: DataFrame, feature_set: str, mode: str = "bank_local", fo
         "internal_transfer": internal.cast("int"),
         "self_account": (internal & (F.col("from_account") == F.col("to_account"))).cast("int"),
         "tx_24h": F.col("own_count"),
-        "new_cp_24h": W.trailing_sum(F.col("is_new_cp"), "ts_s", DAY, SRC, ORDER, inclusive=True),
-        "amt_vs_prevmean": F.log1p(F.greatest(S.safe_ratio(F.col("amount_paid"), F.try_divide(paid_before, W.prev_count(SRC, ORDER)), 1.0), F.lit(0.0))),
+        "amt_vs_prevmean": F.log1p(F.greatest(S.safe_ratio(F.col("amount_paid"), F.try_divide(F.col("_paid_before"), F.col("_sent_before")), 1.0), F.lit(0.0))),
         **{f"amount_round{n}k": S.round_amount("amount_paid", n * 1000) for n in (1, 10, 100)},
     })
     one = F.lit(1)

@@ -7,17 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S, windows as W
+from ..functions.workers import shared_path
 from ..operators import evaluation as E, features as X, graph as R, ml as M, publish as P, staging as G
 from ..sources import tables as T
 from ..sources.constants import RAW_TIMESTAMP
 from . import sql as Q
 from .graphs import _TEMPORAL, _TEMPORAL_WHOLE, _edges
 from .registry import query
-from .scans import _raw_text, _shared
+from .scans import _raw_text
 
 
 def _written(spark, sf_dir, name, df, text=True):
-    path = f"{_shared(spark)}/{name}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, name)
     if text:
         df.write.mode("overwrite").text(path)
     else:
@@ -75,21 +76,21 @@ def src13(spark, sf_dir):
 @query("snk02_checkpoint", Q.tx("SELECT count(*) AS rows, sum(amount_paid) AS amount FROM tx"))
 def snk02(spark, sf_dir):
     """The lineage is cut by a written copy in the shared folder."""
-    path = f"{_shared(spark)}/snk02-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "snk02")
     P.write_parquet(T.transactions(spark, sf_dir), path)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_paid").alias("amount"))
 
 
 @query("snk05_json_metadata", "SELECT '{\"rows\": 25, \"target_retention\": 0.95}' AS value")
 def snk05(spark, sf_dir):
-    nation, path = T.table(spark, sf_dir, "nation"), f"{_shared(spark)}/snk05-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    nation, path = T.table(spark, sf_dir, "nation"), shared_path(spark, "snk05")
     P.write_json_row({"target_retention": 0.95, "rows": nation.count()}, nation, path)
     return spark.read.text(path)
 
 
 @query("snk07_matrix_files", Q.tx("SELECT transaction_id, is_laundering, amount_paid::FLOAT AS amount_paid, score::FLOAT AS score FROM tx"))
 def snk07(spark, sf_dir):
-    path = f"{_shared(spark)}/snk07-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "snk07")
     P.write_matrix(T.transactions(spark, sf_dir), path, ("amount_paid", "score"), 3)
     return spark.read.parquet(path)
 
@@ -261,7 +262,7 @@ def ml03(spark, sf_dir):
 
     names = ("log_amount_paid", "own_account_prev_count")
     rows = M.prepared(X.sender_features(T.transactions(spark, sf_dir), "old", formats=()), names).persist()
-    model, path = M.boosted(rows, names, trees=2), f"{_shared(spark)}/model-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    model, path = M.boosted(rows, names, trees=2), shared_path(spark, "model")
     model.write().overwrite().save(path)
     a, b = M.scored(model, rows), M.scored(PipelineModel.load(path), rows).select("transaction_id", F.col("score").alias("again"))
     return a.join(b, "transaction_id").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("score") != F.col("again")).cast("long")).alias("different"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.workers import cut
 from ..operators import graph as R, graph_metrics as M
 from ..operators.node_features import node_features
 from ..sources import tables as T
@@ -123,12 +124,12 @@ SELECT counts.*, crs.* EXCLUDE key, drs.* EXCLUDE key, coalesce(turnover, 0) AS
 
 _HOOD = ("key", "num_transactions", "num_currencies", "num_sources", "num_targets", "num_source_or_target", "num_source_and_target", "num_source_only", "num_target_only", *(f"{n}_{x}_edges" for x in ("credit", "debit") for n in ("max", "mean", "median", "std")), "turnover", "ts_range", "ts_std", "ts_weighted_mean")
 for side in ("source", "target"):
-    query(f"gr05_gr06_one_hop_{side}", _hood_sql(side))(lambda spark, sf_dir, side=side: _rounded(R.one_hop(R.multi_edges(_edges(spark, sf_dir)), side).select(*_HOOD)))
+    query(f"gr05_gr06_one_hop_{side}", _hood_sql(side))(lambda spark, sf_dir, side=side: _rounded(R.one_hop(cut(R.multi_edges(_edges(spark, sf_dir))), side).select(*_HOOD)))
 
 
 @query("gr05_full_neighbourhood")
 def gr05(spark, sf_dir):
-    return R.one_hop(R.multi_edges(_edges(spark, sf_dir)), "source")
+    return R.one_hop(cut(R.multi_edges(_edges(spark, sf_dir))), "source")
 
 
 @query("ag16_ag17_event_times", f"""WITH {Q.EDGES}, ev AS (SELECT source_bank::BIGINT AS key, ts_s - 1661990400 AS ts, amount AS w FROM e),

@@ -96,7 +96,7 @@ def jn15(spark, sf_dir):
     return G.endpoints(T.transactions(spark, sf_dir)).groupBy("account").agg(F.min("ts_s").alias("first_seen"))
 
 
-_LEGS = "legs AS (SELECT transaction_id, ts_s, from_account AS account, -amount_paid AS d FROM tx UNION ALL SELECT transaction_id, ts_s, to_account, amount_paid FROM tx), run AS (SELECT DISTINCT account, ts_s, transaction_id, sum(d) OVER (PARTITION BY account ORDER BY ts_s * 10000000 + transaction_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net, ts_s - min(ts_s) OVER (PARTITION BY account) AS active FROM legs)"
+_LEGS = "legs AS (SELECT transaction_id, ts_s, from_account AS account, -amount_paid AS d FROM tx UNION ALL SELECT transaction_id, ts_s, to_account, amount_paid FROM tx), one AS (SELECT account, ts_s, transaction_id, sum(d) AS d FROM legs GROUP BY ALL), run AS (SELECT account, ts_s, transaction_id, sum(d) OVER (PARTITION BY account ORDER BY ts_s, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net, ts_s - min(ts_s) OVER (PARTITION BY account) AS active FROM one)"
 
 
 @query("wn03_running_totals", Q.tx("SELECT transaction_id, sum(amount_paid) OVER (PARTITION BY from_account ORDER BY ts_s, transaction_id) AS source_dispensation, sum(amount_paid) OVER (PARTITION BY to_account ORDER BY ts_s, transaction_id) AS target_accumulation FROM tx"))

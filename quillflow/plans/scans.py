@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S, windows as W
+from ..functions.workers import shared_path
 from ..operators import evaluation as E, features as X, publish as P, staging as G
 from ..sources import tables as T
 from ..sources.constants import RAW_COLUMNS
@@ -43,26 +44,16 @@ def _raw_text(tx, *extra):
 @query("src02_raw_file_round_trip", Q.tx(f"SELECT ts_s, from_bank::VARCHAR AS from_bank, from_account::VARCHAR AS from_account, round(amount_paid * rate, 4) AS usd_paid, is_laundering FROM tx JOIN {Q.RATES} ON name = payment_currency"))
 def src02(spark, sf_dir):
     """Writes raw transaction files to the shared folder and reads them under the explicit schema, amounts in US dollars."""
-    path = f"{_shared(spark)}/raw-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "raw")
     T.transactions(spark, sf_dir).select(_raw_text(None)).write.mode("overwrite").text(path)
     raw = T.read_raw(spark, path, header=False)
     return raw.select(F.unix_seconds("timestamp").alias("ts_s"), "from_bank", "from_account", F.round(S.in_usd("amount_paid", "payment_currency"), 4).alias("usd_paid"), "is_laundering")
 
 
-def _shared(spark):
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/quillflow"
-
-
 @query("src04_numbered_lines", "SELECT (o_orderkey + 0)::BIGINT AS line_no, o_orderkey::VARCHAR || '|' || o_orderpriority AS value FROM orders")
 def src04(spark, sf_dir):
     """Lines of sorted text files, numbered in file order; the key of the n-th order is n."""
-    path = f"{_shared(spark)}/lines-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "lines")
     orders = T.table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").orderBy("o_orderkey")
     orders.select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority")).coalesce(1).write.mode("overwrite").text(path)
     return T.read_lines(spark, path, header=False).select("line_no", "value")
@@ -340,14 +331,14 @@ def dim_currencies(spark, sf_dir):
 
 @query("snk01_parquet_round_trip", Q.tx("SELECT transaction_id, amount_paid FROM tx"))
 def snk01(spark, sf_dir):
-    path = f"{_shared(spark)}/sink-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "sink")
     P.write_parquet(T.transactions(spark, sf_dir).select("transaction_id", "amount_paid"), path, 4)
     return spark.read.parquet(path)
 
 
 @query("snk03_strict_round_trip", Q.tx("SELECT transaction_id, score::FLOAT AS risk_score FROM tx"))
 def snk03(spark, sf_dir):
-    path = f"{_shared(spark)}/strict-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "strict")
     rows = T.transactions(spark, sf_dir).select("transaction_id", F.col("score").alias("risk_score"), "ts_s")
     P.write_strict(rows, path, {"transaction_id": "long", "risk_score": "float"}, "transaction_id")
     return spark.read.parquet(path)
@@ -355,7 +346,7 @@ def snk03(spark, sf_dir):
 
 @query("snk04_csv_round_trip", "SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation")
 def snk04(spark, sf_dir):
-    path = f"{_shared(spark)}/csv-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    path = shared_path(spark, "csv")
     P.write_csv(T.table(spark, sf_dir, "nation", "n_nationkey", "n_name"), path)
     return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(path)
 

@@ -14,6 +14,10 @@ from .constants import CURRENCIES, DAY, NAMES, RAW_COLUMNS, RAW_TIMESTAMP
 LINE_ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
+#: Lines that are numbered in one window.
+LINE_RANGE = 1 << 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A Parquet table, or some columns of it: the scan reads no others."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,12 +83,17 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """(chain_id, type, sub_type, line_no and the raw fields) of a pattern file's blocks.
 
     A BEGIN line opens a block and names its type after the dash; the running count of BEGIN lines is the
-    chain's number, from 0.  The file is small beside the transactions; blocks are numbered by one sum.
+    chain's number, from 0.  Lines are counted within ranges, and only ranges meet in one window: each hands the
+    number of its blocks and the head of the last one on to the next.
     """
-    lines = read_lines(spark, path, header=False).withColumn("value", F.trim("value"))
+    lines = read_lines(spark, path, header=False).select(F.trim("value").alias("value"), "line_no", F.floor(F.col("line_no") / LINE_RANGE).alias("_range"))
     begins = F.col("value").startswith("BEGIN")
-    in_order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({"chain_id": F.sum(begins.cast("long")).over(in_order) - 1, "head": F.last(F.when(begins, F.col("value")), ignorenulls=True).over(in_order)})
+    ranges = lines.groupBy("_range").agg(F.sum(begins.cast("long")).alias("_n"), F.max(F.when(begins, F.struct("line_no", "value")))["value"].alias("_last"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.last("_last", ignorenulls=True).over(earlier).alias("_head"))
+    inside = Window.partitionBy("_range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    told = lines.withColumns({"_nth": F.sum(begins.cast("long")).over(inside), "_own": F.last(F.when(begins, F.col("value")), ignorenulls=True).over(inside)})
+    marked = told.join(offsets, "_range").withColumns({"chain_id": F.col("_before") + F.col("_nth") - 1, "head": F.coalesce("_own", "_head")})
     title = F.element_at(F.split("head", " - "), -1)
     part = lambda k: F.lower(F.trim(F.get(F.split(title, ":"), F.lit(k))))
     rows = marked.where(~begins & ~F.col("value").startswith("END") & (F.col("value") != ""))

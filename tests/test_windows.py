@@ -40,7 +40,31 @@ def test_previous_distinct(spark):
 
 def test_trailing_distinct_counts_earlier_ties(spark):
     df = spark.createDataFrame([(0, 1, 0, "a"), (1, 1, 5, "b"), (2, 1, 5, "c"), (3, 1, 20, "d")], "id long, k long, t long, v string")
-    assert rows(df.withColumn("n", W.trailing_distinct("v", "t", 10, ("k",), ("id",))), "n") == [(0,), (1,), (2,), (0,)]
+    assert rows(W.with_trailing_distinct(df, "n", "v", "t", 10, ("k",), ("t", "id")), "n") == [(0,), (1,), (2,), (0,)]
+
+
+def test_trailing_distinct_by_hand(spark):
+    """Few values, many ties, values that come back within the window and after it, and nulls."""
+    import random
+
+    rnd = random.Random(3)
+    data = [(k, rnd.randrange(3), rnd.randrange(60), rnd.choice(["a", "b", "c", "d", None])) for k in range(400)]
+    df = spark.createDataFrame(data, "id long, k long, t long, v string")
+    found = {r.id: r.n for r in W.with_trailing_distinct(df, "n", "v", "t", 10, ("k",), ("t", "id")).collect()}
+    for i, k, t, _ in data:
+        assert found[i] == len({v for j, q, u, v in data if q == k and (u, j) < (t, i) and u >= t - 10 and v is not None})
+
+
+def test_pattern_blocks_across_ranges(spark, tmp_path, monkeypatch):
+    from quillflow.sources import tables as T
+
+    lines = []
+    for k in range(9):
+        lines += [f"BEGIN LAUNDERING ATTEMPT - FAN-OUT: part {k}" if k % 2 else "BEGIN LAUNDERING ATTEMPT - CYCLE", *(f"t{k},{j},a,b,c,1,USD,1,USD,ACH,1" for j in range(k)), "END LAUNDERING ATTEMPT", ""]
+    (tmp_path / "p.txt").write_text("\n".join(lines) + "\n")
+    monkeypatch.setattr(T, "LINE_RANGE", 4)
+    found = [(r.chain_id, r.type, r.sub_type) for r in T.read_patterns(spark, str(tmp_path / "p.txt")).orderBy("line_no").collect()]
+    assert found == [(k, "fan-out" if k % 2 else "cycle", f"part {k}" if k % 2 else "cycle") for k in range(9) for _ in range(k)]
 
 
 def test_balances(spark):
