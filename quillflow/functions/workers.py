@@ -36,8 +36,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the checkpoint folder, so that what reads it several times starts from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """df computed once, written to the shared folder and read back: what reads it, several times or later, starts from there."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

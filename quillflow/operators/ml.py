@@ -1,17 +1,20 @@
-"""Estimators over feature tables, all from pyspark.ml, and the experiment that ties them to the metrics."""
+"""Estimators over feature tables, from pyspark.ml where it has them, and the experiment that ties them to the metrics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, MinMaxScaler, QuantileDiscretizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import QuantileDiscretizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
+from ..functions.workers import importable
 from . import evaluation as E
 
 
@@ -56,32 +59,116 @@ def contributions(model: PipelineModel, names: Sequence[str], df: DataFrame) ->
     return df.sparkSession.createDataFrame(rows, "name string, coefficient double")
 
 
-def reduced(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """k standardised principal components, scaled to 0..1: the optional dimension reduction."""
-    stages = [VectorAssembler(inputCols=list(names), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_s", withMean=True), PCA(k=k, inputCol="_s", outputCol="_p"), MinMaxScaler(inputCol="_p", outputCol="_m")]
-    out = Pipeline(stages=stages).fit(df).transform(df).withColumn("_a", vector_to_array("_m"))
-    return out.select(*(c for c in df.columns if c not in names), *(F.col("_a")[i].alias(f"component_{i}") for i in range(k)))
+def feature_clusters(correlation: np.ndarray, k: int) -> np.ndarray:
+    """The cluster of each standardised feature: Ward's agglomeration, at each step the two whose merger adds least variance.
 
+    Squared distances of standardised columns are 2 n (1 - correlation), so the matrix of features by features is
+    all that is needed, however many rows there are.
+    """
+    n = len(correlation)
+    distance = 2.0 * (1.0 - correlation)
+    np.fill_diagonal(distance, np.inf)
+    sizes, cluster = np.ones(n), np.arange(n)
+    for _ in range(n - max(1, k)):
+        a, b = sorted(map(int, np.unravel_index(np.argmin(distance), distance.shape)))
+        others = np.array([c for c in range(n) if sizes[c] > 0 and c not in (a, b)], int)
+        merged = ((sizes[a] + sizes[others]) * distance[a, others] + (sizes[b] + sizes[others]) * distance[b, others] - sizes[others] * distance[a, b]) / (sizes[a] + sizes[b] + sizes[others])
+        distance[a, others] = distance[others, a] = merged
+        distance[b, :] = distance[:, b] = np.inf
+        sizes[a], sizes[b] = sizes[a] + sizes[b], 0
+        cluster[cluster == b] = a
+    return np.unique(cluster, return_inverse=True)[1]
 
-def anomaly_scores(df: DataFrame, names: Sequence[str], clusters: int = 8, seed: int = 42) -> DataFrame:
-    """df with anomaly_score: the negative distance to the nearest of some cluster centres of the standardised features.
 
-    Stands in for an isolation forest, which Spark lacks; lower is odder in both.
+def reduced(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    """k cluster_i columns in place of the features: means of the standardised features of each cluster, scaled to 0..1."""
+    stages = [VectorAssembler(inputCols=list(names), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_s", withMean=True)]
+    scaled = Pipeline(stages=stages).fit(df).transform(df)
+    correlation = np.nan_to_num(Correlation.corr(scaled, "_s").head()[0].toArray())
+    np.fill_diagonal(correlation, 1.0)
+    cluster, values = feature_clusters(correlation, k), vector_to_array("_s")
+    held = scaled.withColumn("_a", values)
+    means = [(sum((F.col("_a")[int(j)] for j in np.flatnonzero(cluster == c)), F.lit(0.0)) / int((cluster == c).sum())).alias(f"_c{c}") for c in range(cluster.max() + 1)]
+    pooled = held.select(*(c for c in df.columns if c not in names), *means)
+    spread = pooled.agg(*(f(c).alias(f"{n}{c}") for c in pooled.columns if c.startswith("_c") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    bounded = lambda c: F.coalesce(F.try_divide(F.col(c) - F.lit(spread[f"lo{c}"]), F.lit(spread[f"hi{c}"] - spread[f"lo{c}"])), F.lit(0.0))
+    return pooled.select(*(bounded(c).alias(f"cluster_{c[2:]}") if c.startswith("_c") else c for c in pooled.columns))
+
+
+#: Rows that the trees of a forest draw from, and rows that each of them draws.
+POOL, DRAWN = 8192, 256
+
+
+def mean_path(n: np.ndarray | int) -> np.ndarray:
+    """The mean path length of an unsuccessful search among n keys in a binary tree."""
+    n = np.asarray(n, float)
+    harmonic = np.log(np.maximum(n - 1, 1)) + np.euler_gamma
+    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+
+
+class Forest:
+    """Isolation trees as arrays: node k of a tree has the children 2k + 1 and 2k + 2; a leaf has feature -1 and a path length."""
+
+    def __init__(self, pool: np.ndarray, trees: int, drawn: int = DRAWN, seed: int = 42):
+        self.drawn = min(drawn, len(pool))
+        self.depth = max(1, int(np.ceil(np.log2(max(2, self.drawn)))))
+        nodes = 2 ** (self.depth + 1) - 1
+        self.feature, self.threshold, self.path = np.full((trees, nodes), -1, np.int32), np.zeros((trees, nodes)), np.zeros((trees, nodes))
+        random = np.random.default_rng(seed)
+        for t in range(trees):
+            todo = [(0, 0, pool[random.choice(len(pool), self.drawn, replace=False)])]
+            while todo:
+                k, level, rows = todo.pop()
+                low, high = rows.min(axis=0), rows.max(axis=0)
+                varying = np.flatnonzero(high > low)
+                if level == self.depth or len(rows) <= 1 or not len(varying):
+                    self.path[t, k] = level + mean_path(len(rows))
+                    continue
+                f = int(random.choice(varying))
+                cut_at = random.uniform(low[f], high[f])
+                right = rows[:, f] > cut_at
+                self.feature[t, k], self.threshold[t, k] = f, cut_at
+                todo += [(2 * k + 1, level + 1, rows[~right]), (2 * k + 2, level + 1, rows[right])]
+
+    def decision(self, rows: np.ndarray) -> np.ndarray:
+        """1/2 - 2^(-mean path / expected path): below 0 for odd rows."""
+        total, every = np.zeros(len(rows)), np.arange(len(rows))
+        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
+            at = np.zeros(len(rows), np.int64)
+            for _ in range(self.depth):
+                f = feature[at]
+                at = np.where(f >= 0, 2 * at + 1 + (rows[every, f] > threshold[at]), at)
+            total += path[at]
+        return 0.5 - 2.0 ** (-total / len(self.feature) / max(float(mean_path(self.drawn)), 1e-9))
+
+
+def anomaly_scores(df: DataFrame, names: Sequence[str], trees: int = 1000, seed: int = 42) -> DataFrame:
+    """df with anomaly_score from an isolation forest: lower is odder, below 0 is odd.
+
+    Trees draw DRAWN rows each, as the method has it, from a pool of POOL rows that a hash picks among all; the
+    forest has a fixed size and goes to the workers that score every row.
     """
-    stages = [VectorAssembler(inputCols=list(names), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="features", withMean=True), BisectingKMeans(k=clusters, seed=seed)]
-    model = Pipeline(stages=stages).fit(df)
-    centres = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
-    out = model.transform(df).withColumn("_a", vector_to_array("features"))
-    centre = F.get(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("prediction"))
-    distance = F.sqrt(F.aggregate(F.zip_with("_a", centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    return out.withColumn("anomaly_score", -distance).drop("_v", "_a", "features", "prediction")
+    values = [F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)) for n in names]
+    held = df.withColumn("_x", F.array(*values))
+    pool = held.select("_x").orderBy(F.xxhash64("_x", F.lit(seed)), "_x").limit(POOL).collect()
+    if not pool:
+        return df.withColumn("anomaly_score", F.lit(None).cast("double"))
+    shared = df.sparkSession.sparkContext.broadcast(Forest(np.array([r[0] for r in pool], float), trees, seed=seed))
+    width, schema = len(names), T.StructType([*df.schema, T.StructField("anomaly_score", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.decision(x))], schema.names)
+
+    return importable(held).mapInArrow(run, schema)
 
 
-def experiment(features: DataFrame, names: Sequence[str], split: DataFrame, model: str = "boosted", targets: Sequence[float] = (0.99, 0.95, 0.9)) -> dict[str, DataFrame]:
+def experiment(features: DataFrame, names: Sequence[str], split: DataFrame, model: str = "boosted", targets: Sequence[float] = (0.99, 0.95, 0.9), **settings) -> dict[str, DataFrame]:
     """Fits on bucket 0, chooses thresholds on bucket 1 and reports on bucket 2: the prefilter experiment."""
     rows = prepared(features, names).join(split.select("transaction_id", "bucket"), "transaction_id")
     part = lambda k: rows.where(F.col("bucket") == k).drop("bucket")
-    fitted = logistic(part(E.TRAIN), names) if model == "logistic" else boosted(part(E.TRAIN), names)
+    fitted = logistic(part(E.TRAIN), names) if model == "logistic" else boosted(part(E.TRAIN), names, **settings)
     valid, test = scored(fitted, part(E.VALID)), scored(fitted, part(E.TEST))
     return {"retention": E.retention_table(valid, test, targets), "fixed_recall": E.gain_table(test, targets), "roc_auc": E.roc_auc(test), "pr_auc": E.average_precision(test), "test": test}
 

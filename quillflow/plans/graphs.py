@@ -191,7 +191,7 @@ def _community_edges(spark, sf_dir):
 
 @query("gr08_label_communities")
 def gr08(spark, sf_dir):
-    return M.label_communities(_community_edges(spark, sf_dir), 4)
+    return M.label_communities(_community_edges(spark, sf_dir))
 
 
 def _neighbourhoods(spark, sf_dir):

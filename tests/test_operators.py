@@ -114,6 +114,87 @@ def test_communities_of_two_cliques(spark):
     assert len({found[k] for k in (1, 2, 3, 4)}) == 1 and len({found[k] for k in (11, 12, 13, 14)}) == 1 and found[1] != found[11]
 
 
+def _modularity(pairs, of):
+    """Q of an undirected weighted graph from its definition, one pair of nodes at a time."""
+    weight, degree = {}, {}
+    for a, b, w in pairs:
+        weight[(a, b)] = weight.get((a, b), 0) + w
+        weight[(b, a)] = weight.get((b, a), 0) + w
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    total = sum(degree.values())
+    return sum(weight.get((a, b), 0) - degree[a] * degree[b] / total for a in degree for b in degree if of[a] == of[b]) / total
+
+
+def test_modularity_from_the_definition(spark):
+    pairs = [(1, 2, 1.0), (2, 3, 2.0), (1, 3, 1.0), (3, 4, 0.5), (4, 5, 3.0), (5, 6, 1.0), (4, 6, 1.0)]
+    of = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    both = spark.createDataFrame([(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs], "a long, b long, w double")
+    assert abs(M.modularity(both, spark.createDataFrame(list(of.items()), "node long, community long")) - _modularity(pairs, of)) < 1e-12
+
+
+def test_feature_clusters_are_wards():
+    """Against mergers chosen by the variance that they add, computed from the columns themselves."""
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(300, 3))
+    x = np.column_stack([base[:, k % 3] + 0.4 * rnd.normal(size=300) for k in range(8)])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    groups = [[k] for k in range(8)]
+    spread = lambda g: ((x[:, g].T - x[:, g].mean(axis=1)) ** 2).sum()
+    while len(groups) > 3:
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda p: spread(groups[p[0]] + groups[p[1]]) - spread(groups[p[0]]) - spread(groups[p[1]]))
+        groups[b] += groups.pop(a)
+    found = ml.feature_clusters(np.corrcoef(x.T), 3)
+    assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(found == c).tolist()) for c in set(found.tolist())}
+
+
+def test_reduced_features(spark):
+    rows = [(k, float(k), 2.0 * k + 1, float(k % 3), 7.0) for k in range(30)]
+    df = ml.reduced(spark.createDataFrame(rows, "id long, a double, b double, c double, d double"), ["a", "b", "c", "d"], 3)
+    assert df.columns == ["id", "cluster_0", "cluster_1", "cluster_2"]
+    for r in df.collect():
+        assert abs(r.cluster_0 - r.id / 29) < 1e-9 and abs(r.cluster_1 - (r.id % 3) / 2) < 1e-9 and r.cluster_2 == 0
+
+
+def test_isolation_forest(spark):
+    """Path lengths against a walk node by node; far rows score lowest; runs agree."""
+    rnd = np.random.default_rng(1)
+    pool = rnd.normal(size=(400, 3))
+    forest = ml.Forest(pool, 60)
+    probe = np.vstack([pool[:20], [[9, -9, 9], [0, 0, 0]]])
+
+    def length(t, x):
+        k = 0
+        while forest.feature[t, k] >= 0:
+            k = 2 * k + 1 + int(x[forest.feature[t, k]] > forest.threshold[t, k])
+        return forest.path[t, k]
+
+    n = forest.drawn
+    expected = 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    want = [0.5 - 2 ** (-np.mean([length(t, x) for t in range(60)]) / expected) for x in probe]
+    assert np.allclose(forest.decision(probe), want, atol=1e-9) and np.argmin(want) == 20 and want[20] < 0 < want[21]
+    df = spark.createDataFrame([(k, *map(float, x), None if k else 1.0) for k, x in enumerate(np.vstack([pool, [[9, -9, 9]]]))], "id long, a double, b double, c double, d double")
+    first, again = ({r.id: r.anomaly_score for r in ml.anomaly_scores(df, ["a", "b", "c", "d"], 50).collect()} for _ in range(2))
+    assert first == again and min(first, key=first.get) == 400 and len(first) == 401
+    assert ml.anomaly_scores(df.limit(0), ["a"]).count() == 0
+
+
+def test_experiment_reaches_its_targets(spark):
+    """Thresholds chosen on the second part keep that share of its positives; contributions come by absolute value."""
+    rnd = np.random.default_rng(8)
+    rows = [(k, int(x[0] + 0.3 * x[1] > 1.0), float(x[0]), float(x[1])) for k, x in enumerate(rnd.random((900, 2)))]
+    df = spark.createDataFrame(rows, "transaction_id long, is_laundering int, a double, b double")
+    split = df.select("transaction_id", (F.col("transaction_id") % 3).alias("bucket"))
+    for model, settings in (("logistic", {}), ("boosted", {"trees": 20})):
+        found = ml.experiment(df, ["a", "b"], split, model, (0.95, 0.9), **settings)
+        assert found["roc_auc"].first()[0] > 0.97
+        positives = sum(r[1] for r in rows if r[0] % 3 == 2)
+        for r in found["retention"].collect():
+            assert r.illicit_missed_count <= 0.25 * positives
+    prepared = ml.prepared(df, ["a", "b"])
+    weights = [(r.name, r.coefficient) for r in ml.contributions(ml.logistic(prepared, ["a", "b"]), ["a", "b"], prepared).collect()]
+    assert [n for n, _ in weights] == ["a", "b"] and weights[0][1] > weights[1][1] > 0
+
+
 def test_boosted_trees_find_a_planted_signal(spark):
     random = np.random.default_rng(3)
     rows = [(k, float(x[0] + x[1] > 1.2), *map(float, x)) for k, x in enumerate(random.random((600, 2)))]
