@@ -64,17 +64,18 @@ def id_width(tokenizer_path: str) -> int:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> bytes:
     """A dictionary from a bounded sample; empty where the sample is too small to train on.
 
-    The sample is a piece of one document of each of some keys, all chosen by a hash over all rows: it is the
-    same in every run, no row comes too late for it, and a long document's piece may lie anywhere in it.
+    The sample is a piece of one document of each of some distinct keys, all chosen by a hash over all rows: it is
+    the same in every run, no row comes too late for it, a key that many rows share counts once, and a long
+    document's piece may lie anywhere in it.  A chosen key without any text gives no piece.
     """
     import zstandard
 
     width = id_width(tokenizer_path)
     h, length = F.xxhash64(key), F.length(text)
-    # the keys' hashes alone decide; pieces of text then leave only the tasks that have chosen keys
-    lowest = [r.h for r in docs.where(length > 0).select(h.alias("h")).orderBy("h").limit(TRAINING_DOCUMENTS).collect()]
+    # the keys' hashes alone decide, so this pass reads no text; pieces of text then leave only the tasks that have chosen keys
+    lowest = [r.h for r in docs.select(h.alias("h")).distinct().orderBy("h").limit(TRAINING_DOCUMENTS).collect()]
     at = F.pmod(F.xxhash64(key, text), F.greatest(F.lit(1), length - TRAINING_CHARS + 1)).cast("int") + 1
-    chosen = docs.where((length > 0) & (h <= F.lit(lowest[-1] if lowest else None).cast("long")))
+    chosen = docs.where((h <= F.lit(lowest[-1] if lowest else None).cast("long")) & (F.col(text) != ""))
     pieces = chosen.select(h.alias("h"), F.substring(F.col(text), at, F.lit(TRAINING_CHARS)).alias("t")).groupBy("h").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
