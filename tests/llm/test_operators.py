@@ -86,6 +86,25 @@ def test_bpe_cuts_are_certain():
         assert codec.cuts(token.removesuffix("</w>")) == [token.removesuffix("</w>") + "</w>"]
 
 
+def test_dictionary_sample_is_one_piece_a_key(spark, monkeypatch):
+    """A key that many rows share counts once, every row can be chosen, and a chosen key without text gives no piece."""
+    hashes = {r.id: r.h for r in spark.range(1, 41).select("id", F.xxhash64("id").alias("h")).collect()}
+    order = sorted(hashes, key=hashes.get)
+    hot, empty, chosen = order[0], order[1], order[:10]
+    rows = [(k, "" if k == empty else f"word{k} again") for k in order] + [(hot, f"more {n}") for n in range(50)]
+    made = []
+    monkeypatch.setattr(token_store, "TRAINING_DOCUMENTS", 10)
+    monkeypatch.setattr("zstandard.train_dictionary", lambda size, samples: made.append(samples) or type("D", (), {"as_bytes": lambda self: b"d"})())
+    path = queries.tokenizer_path()
+    prepare(spark)
+    for partitions in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        assert token_store.train_dictionary(df, path, 1) == b"d"
+    codec, width = token_store.library_codec(path), token_store.id_width(path)
+    mine = {token_store.serialized(codec, f"word{k} again", 1, width)[0] for k in chosen if k not in (hot, empty)}
+    assert made[0] == made[1] and len(made[0]) == 9 and mine < {*made[0]}
+
+
 def test_token_store(spark, docs, none, library):
     path = fresh_path(spark, "store-test")
     token_store.write_store(docs, path, queries.tokenizer_path())
