@@ -125,7 +125,8 @@ class Forest:
                     self.path[t, k] = level + mean_path(len(rows))
                     continue
                 f = int(random.choice(varying))
-                cut_at = random.uniform(low[f], high[f])
+                # between neighbouring floats a draw can round up to the highest value, which would leave one side empty
+                cut_at = min(random.uniform(low[f], high[f]), np.nextafter(high[f], low[f]))
                 right = rows[:, f] > cut_at
                 self.feature[t, k], self.threshold[t, k] = f, cut_at
                 todo += [(2 * k + 1, level + 1, rows[~right]), (2 * k + 2, level + 1, rows[right])]

@@ -155,6 +155,16 @@ def test_reduced_features(spark):
         assert abs(r.cluster_0 - r.id / 29) < 1e-9 and abs(r.cluster_1 - (r.id % 3) / 2) < 1e-9 and r.cluster_2 == 0
 
 
+def test_isolation_trees_cut_between_neighbouring_floats():
+    """A column whose values differ in the last bit alone leaves no side of a cut empty."""
+    a = 0.1 + 0.2
+    pool = np.array([[a], [np.nextafter(a, 1)]] * 40 + [[np.nextafter(a, 0)]])
+    forest = ml.Forest(pool, 300, 16)
+    assert (forest.feature[:, 0] == 0).any() and np.isfinite(forest.decision(pool)).all()
+    inner = forest.feature >= 0
+    assert set(np.unique(forest.threshold[inner])) <= {np.nextafter(a, 0), a}
+
+
 def test_isolation_forest(spark):
     """Path lengths against a walk node by node; far rows score lowest; runs agree."""
     rnd = np.random.default_rng(1)
