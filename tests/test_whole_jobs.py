@@ -7,7 +7,6 @@ import datetime
 import numpy as np
 import pytest
 
-from quillflow.llm import exact_dedup, simhash_bk
 from quillflow.operators import evaluation as E, graph_metrics as M, ml
 from quillflow.plans import models, registry
 
@@ -192,11 +191,3 @@ def test_counts_of_trees_and_replicates(spark, small_dir, monkeypatch):
     for name in ("ag28_bootstrap_f1", "cp16_prediction_analysis"):
         registry.queries()[name](spark, small_dir)
     assert seen[2:].count(2000) == 2
-
-
-def test_dedup_keeps_one_document_without_id(spark):
-    some, other = "one two three four five six seven eight nine ten", "a quite different text about rivers and old stone bridges"
-    docs = spark.createDataFrame([(1, some), (2, some), (None, other), (None, other), (None, some)], "doc_id long, text string")
-    for dedup in (exact_dedup.kept_documents, simhash_bk.representatives):
-        texts = [r.text for r in dedup(docs).collect()]
-        assert sorted(texts) == sorted([some, other])
