@@ -23,7 +23,7 @@ MEMO_ENTRIES = 120_000
 #: Longer words are encoded without being remembered.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer's white space does not include them.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Words of these characters are in normal form, and Python's lower case and classes agree with the tokenizer's.
 _LATIN = re.compile("[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+").fullmatch
 #: The symbols that stand for bytes: printable Latin-1 characters for themselves, the others from U+0100 on in order.
@@ -33,11 +33,6 @@ _BYTE_SYMBOLS = {b: 0x100 + k for k, b in enumerate(sorted({*range(256)} - {*_PR
 _LATIN_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")}
 
 
-def in_symbols(piece: str) -> str:
-    """A pre-token as the symbols of its UTF-8 bytes."""
-    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-
-
 class Memo(dict):
     """A bounded dictionary that computes what it lacks; when full, what was not used again is forgotten."""
 
@@ -139,30 +134,23 @@ class Codec:
         """Ids, as little-endian int32, of a text that holds no added token."""
         return b"".join([self.fragments[f] for piece in self.pieces(word) for f in self.cuts(piece)])
 
-    def latin_pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens of a Latin word, in characters, without library call and for plain ones without search; None for others."""
-        if self.latin_pattern is None:
-            return None
-        if text.isascii():
-            if text.isalpha():
-                return [text.lower()]
-            if text[:-1].isalpha() and "!" <= text[-1] <= "~":
-                return [text[:-1].lower(), text[-1]]
-        if not _LATIN(text):
-            return None
-        return [text.lower()] if text.isalpha() else self.latin_pattern.findall(text.lower())
-
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokens in byte symbols."""
-        found = self.latin_pieces(text)
-        return [x for x, _ in self.pretokenize(self.normalize(text))] if found is None else list(map(in_symbols, found))
+        """The pre-tokens in byte symbols; Latin words need no library call, and plain ones no search."""
+        if self.latin_pattern:
+            if text.isascii():
+                if text.isalpha():
+                    return [text.lower()]
+                if text[:-1].isalpha() and "!" <= text[-1] <= "~":
+                    return [text[:-1].lower(), text[-1]]
+            if _LATIN(text):
+                found = [text.lower()] if text.isalpha() else self.latin_pattern.findall(text.lower())
+                return [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_SYMBOLS) for x in found]
+        return [x for x, _ in self.pretokenize(self.normalize(text))]
 
     def encode_plain(self, text: str) -> bytes:
         """White space never joins with its neighbours, so the words between it can be encoded alone."""
-        if any(x in text for x in _NOT_SPACE):
+        if _NOT_SPACE.search(text):
             return self.encode_word(text)
-        if self.latin_pattern and text.isascii():
-            text = text.lower()  # as the normaliser will: one memo entry for all cases of a word
         return b"".join(map(self.words.__getitem__, text.split()))
 
     def encode(self, text: str | None) -> bytes:

@@ -34,7 +34,7 @@ SHARD_ROWS = "key long, file string, part int, offset long, length int, local_st
 
 
 class LibraryCodec(bpe.Codec):
-    """The tokenizers library's own model, asked once for each pre-token of the Latin words, and for the others' by word."""
+    """The tokenizers library's own model, asked for the pre-tokens of each distinct word."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -42,9 +42,7 @@ class LibraryCodec(bpe.Codec):
         self.words = bpe.Memo(self.encode_word, 4 * bpe.MEMO_ENTRIES)
 
     def encode_word(self, word: str) -> bytes:
-        by_id, found = self.by_id, self.latin_pieces(word)
-        if found is not None and found != [word]:
-            return b"".join([self.words[x] for x in found])  # pre-tokens are words: their own case and marks are met again and again
+        by_id = self.by_id
         return b"".join([by_id[t.id] for piece in self.pieces(word) for t in self.ask(piece)])
 
 
