@@ -238,10 +238,10 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id
     return source.mapInArrow(run, f"{key_field.name} {key_field.dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", entries: int = 2 * MEMO_ENTRIES) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", entries: int = MEMO_ENTRIES) -> DataFrame:
     """(key, ids, decoded): encode_documents and decode_documents in one pass, so that ids visit one worker only.
 
-    One worker a task instead of two leaves memory for larger memos.
+    Short tasks can leave an executor more workers than cores, each with its memos, so these stay at the usual size.
     """
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     key_field = source.schema[0]
