@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillflow.operators import graph as R, shelves as H
+from quillflow.plans import graphs
 
 
 def payments(spark, seed=3, n=600, accounts=40, shift=0):
@@ -35,6 +36,12 @@ def alike(found, expected):
         assert [v if v is None else pytest.approx(v, rel=1e-12, abs=1e-9) for v in y] == list(x)
 
 
+@pytest.mark.parametrize("value", [5.77875, 8.38375, 4.30125, 0.03125, -5.77875, 1e300, 2.5])
+def test_rounding_is_that_of_sql(spark, duck, value):
+    found = graphs._rounded(spark.createDataFrame([(value, 1)], "x double, n long")).first()
+    assert (found.x, found.n) == (duck.execute("SELECT round(?::DOUBLE, 4)", [value]).fetchone()[0], 1)
+
+
 @pytest.mark.parametrize("variant", R.FLOW_VARIANTS)
 def test_hops_from_shelves(spark, variant):
     edges = payments(spark, shift=-700)
