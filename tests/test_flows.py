@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillflow.operators import graph as R, shelves as H
+from quillflow.operators import graph as R, hops, shelves as H
 from quillflow.plans import graphs
 
 
@@ -61,3 +61,21 @@ def test_sums_without_packing():
     owner, other, value = random.integers(0, 9, 500), random.integers(0, 9, 500), random.random(500)
     small, wide = H.grouped(owner, other, [value]), H.grouped(owner, other << 58, [value])
     assert (small[0] == wide[0]).all() and (small[1] << 58 == wide[1]).all() and np.allclose(small[2], wide[2])
+
+
+@pytest.mark.parametrize("role", ["dispense", "sink"])
+@pytest.mark.parametrize("rows", [1 << 20, 50])
+def test_temporal_roles_from_shelves(spark, monkeypatch, role, rows):
+    monkeypatch.setattr(H, "ROWS", rows)
+    edges = payments(spark, accounts=25).union(payments(spark, seed=4, n=9, accounts=9, shift=5000))
+    found = R.temporal_role(edges, role, 6)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    alike(found, R.temporal_stats(R.temporal_flows(edges, 6), role))
+
+
+def test_medians_of_uneven_accounts():
+    owner, amount = np.repeat([0, 2, 3], [90, 1, 4]), np.random.default_rng(2).random(95)
+    expected = [np.median(amount[owner == k]) if k != 1 else np.nan for k in range(4)]
+    for n in (4, 400):
+        shuffled = np.r_[owner, np.arange(4, n)], np.r_[amount, np.zeros(n - 4)]
+        assert np.allclose(hops._middle(n, *shuffled)[:4], expected, equal_nan=True)
