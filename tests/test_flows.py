@@ -79,3 +79,29 @@ def test_medians_of_uneven_accounts():
     for n in (4, 400):
         shuffled = np.r_[owner, np.arange(4, n)], np.r_[amount, np.zeros(n - 4)]
         assert np.allclose(hops._middle(n, *shuffled)[:4], expected, equal_nan=True)
+
+
+def test_candidate_numbers_from_shelves(spark):
+    edges = payments(spark, n=90, accounts=60)
+    found = R.candidate_numbers(edges, 4)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    alike(found, R.candidate_sets(R.edge_totals(edges), 4).groupBy("key").count().withColumnRenamed("count", "members"))
+
+
+def test_degrees_whose_squares_exceed_a_long(spark):
+    # banks with some 1.2 million payments: the sum of their squared degrees is above 2^63
+    sizes = {(1, 2): 1_500_000, (2, 3): 1_200_000, (3, 1): 900_000, (1, 3): 600_000}
+    parts = [spark.range(n).selectExpr("1L as key", f"{s}L as source", f"{t}L as target") for (s, t), n in sizes.items()]
+    row = R.degrees(parts[0].union(parts[1]).union(parts[2]).union(parts[3])).first()
+    out, into = ({x: sum(n for e, n in sizes.items() if e[k] == x) for x in (1, 2, 3)} for k in (0, 1))
+    n = np.array(list(sizes.values()), float)
+    x, y = np.array([out[s] for s, _ in sizes], float), np.array([into[t] for _, t in sizes], float)
+    x, y = x - np.average(x, weights=n), y - np.average(y, weights=n)
+    assert row.max_degree == max(out[k] + into[k] for k in out)
+    assert row.assortativity_degree == pytest.approx((n * x * y).sum() / np.sqrt((n * x * x).sum() * (n * y * y).sum()), rel=1e-9)
+
+
+def test_degrees_that_do_not_vary(spark):
+    ring = spark.createDataFrame([(1, k, (k + 1) % 5) for k in range(5)], "key long, source long, target long")
+    row = R.degrees(ring).first()
+    assert (row.max_degree, row.assortativity_degree, row.assortativity_degree_ud) == (2, None, None)
