@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillflow.operators import graph as R, hops, shelves as H
+from quillflow.operators import graph as R, graph_metrics as M, hops, neighbourhoods as N, shelves as H
 from quillflow.plans import graphs
 
 
@@ -105,3 +105,34 @@ def test_degrees_that_do_not_vary(spark):
     ring = spark.createDataFrame([(1, k, (k + 1) % 5) for k in range(5)], "key long, source long, target long")
     row = R.degrees(ring).first()
     assert (row.max_degree, row.assortativity_degree, row.assortativity_degree_ud) == (2, None, None)
+
+
+def test_ranks_of_neighbourhoods_from_shelves(spark, monkeypatch):
+    edges = payments(spark, n=150, accounts=60).union(payments(spark, seed=4, n=9, accounts=9, shift=5000))
+    sets = R.candidate_sets(totals := R.edge_totals(edges), 4)
+    expected = {tuple(r) for r in M.induced_rank_communities(sets, R._weighed(totals), 0.05).collect()}
+    for rows in (1 << 20, 50):
+        monkeypatch.setattr(H, "ROWS", rows)
+        found = R.neighbourhood_ranks(edges, 4, 0.05)
+        assert "Join" not in plan(found) and "Exchange" not in plan(found)
+        pairs = [tuple(r) for r in found.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+@pytest.mark.parametrize("damping", [0.95, 0.5])
+def test_ranks_by_conjugate_gradients(damping):
+    random = np.random.default_rng(7)
+    for n, m in ((2, 1), (30, 25), (40, 300)):
+        s, t, w = random.integers(0, n, m), random.integers(0, n, m), random.random(m) * (random.random(m) < 0.9)
+        a, b, both = np.r_[s, t], np.r_[t, s], np.r_[w, w]
+        order = np.lexsort((b, a))
+        for seed in range(0, n, 7):
+            found, expected = N.rank_of(seed, n, a[order], b[order], both[order], damping), M.personal_rank(s, t, w, seed, damping)
+            assert np.allclose([found[k] for k in expected], list(expected.values()), atol=1e-10) and found.sum() == pytest.approx(1)
+
+
+def test_unknown_amounts_take_the_joins(spark):
+    edges = payments(spark, n=60, accounts=20).union(spark.createDataFrame([(1, 77, None, 3)], "source long, target long, amount double, ts_s long"))
+    assert N.rank_communities(edges, 4) is None
+    totals = R.edge_totals(edges)
+    alike(R.candidate_numbers(edges, 4), R.candidate_sets(totals, 4).groupBy("key").count().withColumnRenamed("count", "members"))
