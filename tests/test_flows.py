@@ -136,3 +136,13 @@ def test_unknown_amounts_take_the_joins(spark):
     assert N.rank_communities(edges, 4) is None
     totals = R.edge_totals(edges)
     alike(R.candidate_numbers(edges, 4), R.candidate_sets(totals, 4).groupBy("key").count().withColumnRenamed("count", "members"))
+
+
+def test_shapes_of_neighbourhoods_from_shelves(spark):
+    edges = payments(spark, n=110, accounts=60).union(payments(spark, seed=4, n=9, accounts=9, shift=5000))
+    found = R.neighbourhood_shapes(edges, 4)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    totals = R.edge_totals(edges)
+    expected = M.induced_shapes(R.candidate_sets(totals, 4), totals).collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected))
+    assert len({r.diameter for r in expected}) > 1 and any(r.num_articulation_points for r in expected)
