@@ -33,10 +33,12 @@ def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): a document that the mix took in several passes has a row for each."""
+    """(doc_id, n_tokens, ids, decoded_sha256): a document that the mix took in several passes has a row for each.
+
+    One pass encodes and decodes: a task has one Python worker with its memos, not two, and workers outlive their tasks.
+    """
     prepare(spark)
-    path = queries.tokenizer_path()
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    decoded = bpe.round_trip(docs, queries.tokenizer_path())
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -83,6 +83,12 @@ def test_each_stage_on_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
+def test_bpe_stage_visits_one_worker(spark, tmp_path):
+    found = corpus_pipeline.bpe_stage(spark, spark.createDataFrame(odd_rows(), EXTRA), str(tmp_path))
+    # two passes leave an executor four idle workers with their memos
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_stored_tables_are_deleted(spark, tmp_path):
     import glob
 
