@@ -340,3 +340,17 @@ def test_features_of_shares_are_those_of_all(spark, sf_dir):
     assert not found.is_cached and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
     buckets = {r.transaction_id: r.bucket for r in models._with_buckets(found).collect()}
     assert buckets == {r.transaction_id: r.bucket for r in models._split(every).collect()}
+
+
+def test_features_leave_only_themselves_on_disk(spark, sf_dir):
+    from pathlib import Path
+
+    from quillflow.functions.workers import shared_path
+    from quillflow.plans import models
+
+    folder = Path(shared_path(spark, "any")).parent
+    folder.mkdir(parents=True, exist_ok=True)
+    before = set(folder.iterdir())
+    features = models._features(spark, sf_dir)
+    assert len(set(folder.iterdir()) - before) == models.SHARES
+    assert features.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
