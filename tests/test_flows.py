@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillflow.operators import graph as R, graph_metrics as M, hops, neighbourhoods as N, shelves as H
+from quillflow.operators.node_features import community_features, rank_features
 from quillflow.plans import graphs
 
 
@@ -146,3 +149,19 @@ def test_shapes_of_neighbourhoods_from_shelves(spark):
     expected = M.induced_shapes(R.candidate_sets(totals, 4), totals).collect()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected))
     assert len({r.diameter for r in expected}) > 1 and any(r.num_articulation_points for r in expected)
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 50])
+def test_features_of_rank_communities_from_shelves(spark, monkeypatch, rows):
+    monkeypatch.setattr(H, "ROWS", rows)
+    edges = payments(spark, n=150, accounts=40).union(payments(spark, seed=4, n=9, accounts=9, shift=5000))
+    bank = lambda c: F.pmod(F.col(c), F.lit(4)).cast("int")
+    names = F.get(F.array(*(F.lit(n) for n in ("Euro", "US Dollar", "Token"))), F.pmod(F.col("source") + F.col("ts_s"), F.lit(3)).cast("int"))
+    edges = edges.withColumns({"source_bank": bank("source"), "target_bank": bank("target"), "source_currency": names, "source_amount": F.col("amount")}).localCheckpoint()
+    multi = R.multi_edges(edges).localCheckpoint()
+    found = rank_features(edges, multi, 4, 0.05)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    alike(found, community_features(R.neighbourhood_ranks(edges, 4, 0.05), multi).select(*found.columns))
+    # without a known bank they take the joins
+    bare = edges.withColumn("source_bank", F.when(F.col("source") != 3, F.col("source_bank")))
+    assert N.rank_features(bare, R.multi_edges(bare), 4, 0.05) is None
