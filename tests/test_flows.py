@@ -165,3 +165,11 @@ def test_features_of_rank_communities_from_shelves(spark, monkeypatch, rows):
     # without a known bank they take the joins
     bare = edges.withColumn("source_bank", F.when(F.col("source") != 3, F.col("source_bank")))
     assert N.rank_features(bare, R.multi_edges(bare), 4, 0.05) is None
+
+
+def test_labels_from_shelves(spark):
+    edges = payments(spark, n=120, accounts=80).union(payments(spark, seed=4, n=30, accounts=20, shift=5000)).localCheckpoint()
+    found = R.account_labels(edges)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    expected = {tuple(r) for r in M.label_communities(R._weighed(R.edge_totals(edges))).collect()}
+    assert {tuple(r) for r in found.collect()} == expected and len({c for _, c in expected}) > 3
