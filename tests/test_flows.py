@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillflow.operators import graph as R, graph_metrics as M, hops, neighbourhoods as N, shelves as H
+from quillflow.operators import arcs as A, graph as R, graph_metrics as M, hops, neighbourhoods as N, shelves as H
 from quillflow.operators.node_features import community_features, rank_features
 from quillflow.plans import graphs
 
@@ -173,3 +173,51 @@ def test_labels_from_shelves(spark):
     assert "Join" not in plan(found) and "Exchange" not in plan(found)
     expected = {tuple(r) for r in M.label_communities(R._weighed(R.edge_totals(edges))).collect()}
     assert {tuple(r) for r in found.collect()} == expected and len({c for _, c in expected}) > 3
+
+
+def arcs_of(kind: int, n: int, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Any arcs, branches of two levels below 0, or a long path with some more arcs."""
+    random = np.random.default_rng(seed)
+    a, b = random.integers(0, n, m), random.integers(0, n, m)
+    if kind == 1:
+        top, inside = 1 + m % 20, (a > 0) & (b > 0) & (random.random(m) < 0.3)
+        a, b = np.r_[np.zeros(top, int), random.integers(1, top + 1, n - top - 1), a[inside]], np.r_[np.arange(1, n), b[inside]]
+    if kind == 2:
+        a, b = np.r_[np.arange(n - 1), a], np.r_[np.arange(1, n), b]
+    turned = random.random(len(a)) < 0.3
+    return np.divmod(np.unique(np.where(turned, b, a) * n + np.where(turned, a, b)), n)
+
+
+def slow_shape(n: int, a: np.ndarray, b: np.ndarray) -> tuple[int, ...]:
+    ways, both = {k: set() for k in range(n)}, {k: set() for k in range(n)}
+    for x, y in zip(a.tolist(), b.tolist()):
+        ways[x].add(y)
+        both[x].add(y)
+        both[y].add(x)
+    return M.diameter(ways), M.diameter(both), *M.biconnected(both)
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+@pytest.mark.parametrize("few", [64, 192])
+def test_shapes_by_bounds(monkeypatch, kind, few):
+    monkeypatch.setattr(A, "FEW", few)
+    for k, share in enumerate((0.3, 0.8, 1, 1.3, 2, 4, 8) * 3):
+        a, b = arcs_of(kind, n := 80 + 11 * k, int(share * n), k)
+        assert A.shape_around(0, n, a, b) == slow_shape(n, a, b)
+
+
+def test_shapes_by_few_searches(monkeypatch):
+    searched, farthest = [], A._Search.farthest
+    monkeypatch.setattr(A._Search, "farthest", lambda self, nodes: searched.append(len(nodes)) or farthest(self, nodes))
+    a, b = arcs_of(0, n := 2000, 20000, 5)
+    assert A.diameter(n, a, b) == slow_shape(n, a, b)[0] and sum(searched) < n / 4
+
+
+def test_ranks_end_early_where_nothing_can_change():
+    random = np.random.default_rng(3)
+    for seed in range(20):
+        s, t, w = random.integers(0, 80, 500), random.integers(0, 80, 500), random.random(500) ** 4
+        kept = N._ranked(seed, seed, np.arange(80), s, t, w, 0.2)
+        ranks = M.personal_rank(s, t, w, seed)
+        top = max(r for x, r in ranks.items() if x != seed)
+        assert kept.tolist() == sorted({seed, *(x for x, r in ranks.items() if r >= 0.2 * top)})
