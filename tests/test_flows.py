@@ -221,3 +221,8 @@ def test_ranks_end_early_where_nothing_can_change():
         ranks = M.personal_rank(s, t, w, seed)
         top = max(r for x, r in ranks.items() if x != seed)
         assert kept.tolist() == sorted({seed, *(x for x, r in ranks.items() if r >= 0.2 * top)})
+
+
+def test_unknown_ends_are_one_node():
+    pdf = __import__("pandas").DataFrame({"source": [1.0, None, 2.0], "target": [None, 2.0, 3.0]})
+    assert M._shape(7, pdf).values.tolist() == [[7, 3, 3, 3, 2]]
